@@ -25,6 +25,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.html_extract import extract_pages
+
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +39,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.common import fold
+    from terrane.llm.langid import identify, train
+
+    docs = _read(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    return identify(docs, train(docs.where(~held)), extra={"held_out": held})
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
