@@ -212,7 +212,7 @@ def _calibrate(model: Model, held: DataFrame) -> None:
     model.temperature = min(losses, key=losses.get)
     best = h.min(1)
     middle, high = np.quantile(best, (0.5, 0.999))
-    model.cutoff = float(high + (high - middle))
+    model.cutoff = float(max(high + 2 * (high - middle), 2 * middle))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:

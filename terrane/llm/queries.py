@@ -39,6 +39,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.common import fold
     from terrane.llm.langid import identify, train
