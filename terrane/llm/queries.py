@@ -31,6 +31,12 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.pii import digests, find_personal_data
+
+    return digests(find_personal_data(_read(spark, sf_dir, "documents")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
