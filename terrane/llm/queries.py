@@ -51,6 +51,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.common import fold
+    from terrane.llm.lm_score import score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.common import fold
     from terrane.llm.langid import identify, train
