@@ -51,6 +51,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.embed_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.common import fold
     from terrane.llm.lm_score import score_texts
