@@ -1,12 +1,64 @@
-"""A training-data pipeline over ``documents``: every stage works on what the one before it kept."""
+"""A training-data pipeline over ``documents``: every stage works on what the one before it kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane.llm.bpe import byte_bpe
+from terrane.llm.decontaminate import find_contamination
+from terrane.llm.langid import identified, train
+from terrane.llm.line_dedup import dedup_lines
+from terrane.llm.minhash import near_duplicates
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or unlike every language go."""
+    return identified(docs.select(COLUMNS), train(docs))
+
+
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents hold stay in one of them; documents of which nothing stays go."""
+    out = dedup_lines(docs.select(COLUMNS))
+    left = (F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")) & (F.trim("text") != "")
+    return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies stays."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.where("contaminated").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left."""
+    import public_tokenizers
+
+    out = byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+    return out.drop("decoded")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", new_lines),
+    ("minhash_dedup", no_near_copies),
+    ("decontaminate", no_benchmarks),
+    ("byte_bpe", token_ids),
+]
 
-#: The stages use trained models and tokenizers, which SQL cannot express.
+#: Trained models, signatures and merges are not for SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

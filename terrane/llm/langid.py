@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.bpe import _Numbered
-from terrane.llm.common import ids, map_texts, texts
+from terrane.llm.common import ids, map_texts, slices, small_batches, texts
 
 ORDER = 4
 UNKNOWN = "und"
@@ -251,3 +251,19 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     passed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in typed)
     return map_texts(df, id_col, text_col, worker, f"`{id_col}` {kind}, {passed}lang_pred string, score double, cross_entropy double, rejected boolean", extra)
+
+
+def identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text is not rejected."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        found = shared.value
+        for batch in batches:
+            for part in slices(batch, text_col):
+                docs = [x or "" for x in part.column(part.schema.get_field_index(text_col)).to_pylist()]
+                kept = [bool(found.languages and _LETTER.search(d)) and row.min() <= found.cutoff for d, row in zip(docs, found.entropies(docs))]
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
