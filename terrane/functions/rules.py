@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass, field, replace
 from functools import total_ordering
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -187,7 +188,6 @@ def rule_order(r: Column) -> Column:
 
 def text(rule: Column) -> Column:
     """The rule as text; decimals round half to even on the binary value, so they are formatted in Python."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def write(lower: pd.Series, upper: pd.Series, vals: pd.Series, name: pd.Series, kind: pd.Series, precision: pd.Series) -> pd.Series:

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local one only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="terrane-"))
+        found = _own[0]
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: later plans start from the files, also when executors are lost."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="terrane-"))  # a local folder only where none is set
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
