@@ -3,8 +3,8 @@
 Documents of equal shingle sets form one class, which its smallest id stands for. The classes' signatures
 (minima of universal hashes) are cut into bands; classes that share a band meet. In every bucket all are
 first compared with the smallest one; what does not come into its component that way is then compared
-with every member of the other components of the bucket, so no candidate pair is left out although the
-pairs within a component are not listed. Candidates are verified on signatures, then on whole sets.
+with every member of the other components of the bucket on whole sets, within tasks of bounded size that return
+links only. So no candidate pair is left out, and neither the pairs within a component nor those that fail are listed.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,8 @@ from terrane.llm.components import connected_components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 2 << 20
+#: Sets of two blocks are in a task at once.
+BLOCK = 2048
 
 
 def shingle_sets(docs: list[str], size: int) -> list[np.ndarray]:
@@ -101,6 +104,39 @@ def _sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     return map_texts(df, id_col, text_col, worker, f"id {kind}, shingles array<bigint>", limit=SLICE)
 
 
+def cross_links(sets: list[np.ndarray], component: np.ndarray, minor: np.ndarray, percent: int, rows: int = 256) -> np.ndarray:
+    """(i, j) of one pair for each minor document i and each other component with a document j that reaches the
+    similarity. Common shingles are counted as matrix products, some columns at a time."""
+    n = np.array([len(x) for x in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    common = np.flatnonzero(np.bincount(column, minlength=len(values)) > 1)
+    place = np.full(len(values), -1)
+    place[common] = np.arange(len(common))
+    column = place[column]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    who = np.flatnonzero(minor)
+    out = []
+    for lo in range(0, len(who), rows):
+        own = who[lo : lo + rows]
+        shared = np.zeros((len(own), len(sets)), np.float32)
+        slot = np.full(len(sets), -1)
+        slot[own] = np.arange(len(own))
+        for c in range(0, len(common), 1024):
+            at = slice(*np.searchsorted(column, [c, c + 1024]))
+            every = np.zeros((len(sets), 1024), np.float32)
+            every[row[at], column[at] - c] = 1
+            shared += every[own] @ every.T
+        near = 100 * shared >= percent * (n[own][:, None] + n - shared)
+        near &= component[own][:, None] != component
+        i, j = np.nonzero(near)
+        if len(i):
+            _, first = np.unique(np.column_stack((i, np.unique(component, return_inverse=True)[1][j])), axis=0, return_index=True)
+            out.append(np.column_stack((own[i[first]], j[first])))
+    return np.concatenate(out) if out else np.zeros((0, 2), int)
+
+
 def _alike(n_a: Column, n_b: Column, percent: int) -> Column:
     """Sets of these sizes can reach the similarity."""
     return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
@@ -131,6 +167,32 @@ class NearDuplicates:
         common = F.size(F.array_intersect("x_a", "x_b"))
         return full.where(100 * common >= self.percent * (F.size("x_a") + F.size("x_b") - common)).select("a", "b")
 
+    def _crossing(self, mixed: DataFrame) -> DataFrame:
+        """Links (a, b) between the components that meet in the groups of (major, id, component). A group is dealt into
+        blocks, and every two blocks go to a task, which compares all sets of different components and returns
+        a link for each document and component at most."""
+        percent = self.percent
+        ids_ = mixed.select("id").distinct()
+        texts = self.df.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).join(ids_, "id", "left_semi")
+        sets = materialize(_sets(texts, "id", "text", self.shingle), "sets")
+        size = materialize(mixed.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "groups")
+        rows = mixed.join(size, "major").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("major", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "id")
+        kind = mixed.schema["id"].dataType.simpleString()
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.drop_duplicates(["id"]).reset_index(drop=True)
+            minor = (pdf["component"] != pdf["major"]).to_numpy()
+            a, b = [], []
+            if minor.any():
+                found = cross_links(pdf["shingles"].tolist(), pdf["component"].to_numpy(), minor, percent)
+                names = pdf["id"].to_numpy()
+                a, b = names[found[:, 0]], names[found[:, 1]]
+            return pd.DataFrame({"a": a, "b": b})
+
+        return rows.groupBy("major", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
     def groups(self) -> DataFrame:
         profile = materialize(_profile(self.df, self.id_col, self.text_col, self.shingle, self.bands * self.rows), "profile")
         named = profile.where(F.col("id").isNotNull() & F.col("key").isNotNull())
@@ -144,15 +206,12 @@ class NearDuplicates:
         stars = placed.where(F.col("id") > F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
         links = materialize(self._verified(stars, classes), "links")
         joined = connected_components(links)
-        # buckets in which more than one component is left, beyond the pairs that were just compared
+        # buckets in which more than one component is left: gathered by the largest component in them
         inside = placed.where(F.col("size") > 2).join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         parts = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
         most = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
-        inside = materialize(inside.join(most.select("bucket", F.col("most.component").alias("major")), "bucket"), "mixed")
-        minor = inside.where(F.col("component") != F.col("major")).select("bucket", F.col("id").alias("x"), F.col("component").alias("c"))
-        crossing = minor.join(inside, "bucket").where((F.col("c") != F.col("component")) & ((F.col("component") == F.col("major")) | (F.col("id") < F.col("x"))))
-        crossing = crossing.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        late = materialize(self._verified(crossing, classes), "links")
+        mixed = inside.join(materialize(most.select("bucket", F.col("most.component").alias("major")), "mixed"), "bucket").select("major", "id", "component").distinct()
+        late = materialize(self._crossing(materialize(mixed, "crossing")), "links")
         component = connected_components(links.unionByName(late)) if late.limit(1).count() else joined
         told = classes.join(component, "id", "left").where((F.col("copies") > 1) | F.col("component").isNotNull()).select("key", F.coalesce("component", "id").alias("component_id"))
         out = profile.select("id", "n", "key").join(told, "key", "left")
