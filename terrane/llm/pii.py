@@ -102,7 +102,10 @@ def disclosing_terms(rows: DataFrame, spans: DataFrame, min_contexts: int = 3, m
     near = near.where(F.length("term") > 2)
     contexts = near.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
     both = near.groupBy("entity", "term", "doc", "version").count().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    pairs = materialize(contexts.join(both, ["entity", "term"]), "pairs")
+    # the term stands in all these documents at least: what has too small a share of them need not be looked for elsewhere
+    near_any = near.groupBy("term", "doc", "version").count().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = contexts.join(both, ["entity", "term"]).join(near_any, "term").where(F.col("n_both") >= min_share * F.col("n_near"))
+    pairs = materialize(pairs.drop("n_near"), "pairs")
     known = materialize(pairs.select("term").distinct(), "terms")
     total = rows.count()
     df = _holding(rows, known, block).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
