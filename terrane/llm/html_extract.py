@@ -47,6 +47,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.left_out = False
         self.regions: list[bool] = [False]
 
     def handle_starttag(self, tag, attrs):
@@ -84,15 +85,18 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.parts.append(data)
+        if self.skip:
+            self.left_out = True
+        else:
+            self.parts.append(data)
 
     def end_line(self):
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, self.where, self.skip > 0))
-            self.parts = []
-        self.tags = 0
+        text = " ".join("".join(self.parts).split()) if self.parts else ""
+        if text:
+            self.lines.append((text, self.tags, self.where, False))
+        elif self.left_out:
+            self.lines.append(("", self.tags, self.where, True))
+        self.parts, self.left_out, self.tags = [], False, 0
 
     def _inside(self) -> bool:
         return self.regions[self.where]
