@@ -97,5 +97,41 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM m GROUP BY doc_id"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CONTAMINATION_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT item_id, k, list_slice(w, p, p + k - 1) AS win FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM s)),
+ks AS (SELECT DISTINCT k FROM win),
+dw AS (SELECT doc_id, p, k, list_slice(w, p, p + k - 1) AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k)),
+h AS (SELECT DISTINCT doc_id, p, k, item_id FROM dw JOIN win USING (k, win)),
+q AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS at FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(q.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.items, '')) AS items_sha256, coalesce(q.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+_COMPONENTS = """
+r(id, c) AS (SELECT id, id FROM n UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id WHERE u.b > r.c),
+g AS (SELECT id, min(c) AS component_id FROM r GROUP BY 1)"""
+
+MINHASH_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, least(3, len(w)) AS k FROM w),
+s AS (SELECT DISTINCT doc_id, list_slice(w, p, p + k - 1) AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM k WHERE k > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), n AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+SELECT g.id AS doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, component_id, g.id = component_id AS kept FROM g LEFT JOIN z ON z.doc_id = g.id"""
+
+VECTOR_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), n AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS}
+SELECT g.id AS vec_id, (SELECT count(*) FROM u WHERE u.a = g.id)::BIGINT AS n_links, component_id, g.id = component_id AS kept FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_SQL}
+    return {"op1_line_dedup": LINE_SQL, "op2_decontaminate": CONTAMINATION_SQL, "op6_minhash": MINHASH_SQL, "op7_embedding": VECTOR_SQL}

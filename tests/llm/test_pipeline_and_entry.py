@@ -18,7 +18,8 @@ def test_names():
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = con.execute(llm.oracle_sql()[name])
     columns = [c[0] for c in found.description]
     got = sorted(tuple(r[c] for c in columns) for r in llm.queries()[name](spark, SF).collect())
