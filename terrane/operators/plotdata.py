@@ -81,3 +81,11 @@ def discretization_histogram(df: DataFrame, column: str, bins: int = 20) -> Data
         return df.where(F.col(column).isNotNull()).groupBy(F.lit(0).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     bucket = F.least(F.floor((F.col(column) - lo) / ((hi - lo) / bins)).cast("int"), F.lit(bins - 1))
     return df.where(F.col(column).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def graph_segments(edges: DataFrame, samples: DataFrame) -> DataFrame:
+    """(src, dst, x0, y0, x1, y1) of every edge once."""
+    one = edges.where(F.col("src") < F.col("dst"))
+    a = samples.select(F.col("sample_id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    b = samples.select(F.col("sample_id").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    return one.join(a, "src").join(b, "dst").select("src", "dst", "x0", "y0", "x1", "y1")

@@ -352,18 +352,41 @@ def kde_scaled(spark, sf_dir):
     return density(binned(samples, grid, ind.membership), grid, scale).where("gx % 5 = 0 AND gy % 5 = 0").select("ind_id", "gx", "gy", _round("z_sum", 7).alias("z_sum"), _round("z_max", 5).alias("z_max"))
 
 
-@query()
+_KERNEL_SQL = {
+    "gaussian": ("1.0", "exp(-0.5::DOUBLE * u * u)"),
+    "exponential": ("sqrt(0.5::DOUBLE)", "exp(-u)"),
+    "tri": ("sqrt(6.0::DOUBLE)", "greatest(1 - u, 0)"),
+    "epa": ("sqrt(5.0::DOUBLE)", "greatest(1 - u * u, 0)"),
+    "biweight": ("sqrt(7.0::DOUBLE)", "power(greatest(1 - u * u, 0), 2)"),
+    "triweight": ("3.0", "power(greatest(1 - u * u, 0), 3)"),
+    "tricube": ("sqrt(243.0::DOUBLE / 35)", "power(greatest(1 - u * u * u, 0), 3)"),
+    "cosine": ("1 / sqrt(1 - 8 / (pi() * pi()))", "CASE WHEN u <= 1 THEN cos(u * pi() / 2) ELSE 0 END"),
+}
+_KERNELS = " UNION ALL ".join(f"SELECT '{k}' AS kernel, ind_id, x, y, sum(w * {f}) AS z FROM (SELECT ind_id, x, y, w, d / ({wd}) AS u FROM far) GROUP BY ALL" for k, (wd, f) in _KERNEL_SQL.items())
+
+
+@query(f"""WITH {_BINNED}, t AS (SELECT i::INT AS i FROM range(0, 100, 4) t(i)),
+far AS (SELECT ind_id, a.i AS x, b.i AS y, w, sqrt(((a.i - gx) * dx) * ((a.i - gx) * dx) + ((b.i - gy) * dy) * ((b.i - gy) * dy)) / h AS d FROM w, t a, t b, g),
+z AS ({_KERNELS}) SELECT kernel, ind_id, x AS gx, y AS gy, round(z, 4) AS z FROM z WHERE z > 0.01""")
 def kde_kernels(spark, sf_dir):
-    """Covered grid points above the level for every kernel."""
+    """Densities with all smooth kernels, at every fourth tick."""
     samples, scale, grid, ind = _frame(spark, sf_dir)
-    bins = binned(samples, grid, ind.membership)
+    bins = binned(samples, grid, ind.membership).persist()
     out = None
-    for kernel in ("gaussian", "exponential", "box", "tri", "epa", "biweight", "triweight", "tricube", "cosine"):
-        own = density(bins, grid, scale, kernel).where("z_max > 0.25").groupBy("ind_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kernel", F.lit(kernel))
+    for kernel in _KERNEL_SQL:
+        own = density(bins, grid, scale, kernel).where("gx % 4 = 0 AND gy % 4 = 0 AND z > 0.01").select(F.lit(kernel).alias("kernel"), "ind_id", "gx", "gy", _round("z", 4).alias("z"))
         out = own if out is None else out.unionByName(own)
     return out
 
 
+@query()
+def kde_box_kernel(spark, sf_dir):
+    """Grid points above the level with the box kernel, whose edge falls on grid points."""
+    samples, scale, grid, ind = _frame(spark, sf_dir)
+    rows = density(binned(samples, grid, ind.membership), grid, scale, "box")
+    return rows.where("z_max > 0.25").groupBy("ind_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {_INSIDE} SELECT ind_id, sample_id FROM i")
 def region_membership_kde(spark, sf_dir):
     return _inside(spark, sf_dir)[2].select("ind_id", "sample_id")
@@ -602,6 +625,39 @@ def region_annotations(spark, sf_dir):
     return _listed(spark, space, list(groups.values()))
 
 
+def _bin_names() -> str:
+    rows = []
+    for v, e in EDGES.items():
+        for i in range(len(e) + 1):
+            lo, hi = (None if i == 0 else e[i - 1]), (None if i == len(e) else e[i])
+            rows.append(f"({v * 100000 + i}, {v}, {i}, '{rules.Interval(lo, hi, f'e{v}')}')")
+    return "nm AS (SELECT ind::BIGINT AS ind_id, v::INT AS v, pos::INT AS pos, name FROM (VALUES " + ", ".join(rows) + ") t(ind, v, pos, name))"
+
+
+@query(f"WITH {_INSIDE}, {_bin_names()} SELECT v AS panel, pos, name, 1::INT AS leaves, count(*)::BIGINT AS n FROM i JOIN nm USING (ind_id) GROUP BY ALL")
+def region_annotations_fixed(spark, sf_dir):
+    """The flagship with fixed edges, where no regions merge."""
+    space, groups = _annotated(spark, sf_dir, ("e0", "e1"), edges=EDGES)
+    return _listed(spark, space, list(groups.values()))
+
+
+@query(f"""WITH {_INSIDE}, {_bin_names()},
+sz AS (SELECT ind_id, v, count(*) AS n FROM i JOIN nm USING (ind_id) GROUP BY ALL),
+sh AS (SELECT p.ind_id AS a, q.ind_id AS b, count(*) AS c FROM i p JOIN i q ON p.sample_id = q.sample_id AND p.ind_id < q.ind_id GROUP BY ALL),
+jc AS (SELECT p.v, 1 - avg(coalesce(c, 0) / (p.n + q.n - coalesce(c, 0) + 1e-8::DOUBLE)) AS s FROM sz p JOIN sz q ON p.v = q.v AND p.ind_id < q.ind_id LEFT JOIN sh ON sh.a = p.ind_id AND sh.b = q.ind_id GROUP BY 1),
+pu AS (SELECT i.ind_id, avg((m.sample_id IS NOT NULL)::INT) AS p FROM i LEFT JOIN m ON m.ind_id = i.ind_id AND m.sample_id = i.sample_id GROUP BY 1),
+mp AS (SELECT v, avg(p) AS s FROM pu JOIN nm USING (ind_id) GROUP BY 1),
+f AS (SELECT v, (5 * count(*) OVER (ORDER BY jc.s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 5 * count(*) OVER (ORDER BY mp.s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 2) / 3 AS score FROM jc JOIN mp USING (v)),
+o AS (SELECT v, (row_number() OVER (ORDER BY score DESC, v DESC) - 1)::INT AS panel FROM f)
+SELECT panel, pos, name, 1::INT AS leaves, n::BIGINT AS n FROM o JOIN nm USING (v) JOIN sz USING (ind_id)""")
+def contrastive_fixed(spark, sf_dir):
+    """Contrastive panels of fixed bins, best first."""
+    from terrane.plans.contrastive import contrastive as run
+
+    space, groups = _annotated(spark, sf_dir, ("e0", "e1"), edges=EDGES)
+    return _listed(spark, space, run(space, [a for g in groups.values() for a in g]))
+
+
 @query()
 def region_annotations_rangeset(spark, sf_dir):
     space, groups = _annotated(spark, sf_dir, ("e0", "e1"), region_method="rangeset", scale_factor=0.5, filter_uninformative_features=False)
@@ -802,7 +858,13 @@ _SQL["graph_cliques"] = _SETS_WITH("SELECT src, dst FROM u")
 _SQL["graph_independent_sets"] = _SETS_WITH("SELECT src, dst FROM al EXCEPT SELECT src, dst FROM u")
 
 
-@query()
+@query(f"""{_PAIRS.replace('WITH ', 'WITH RECURSIVE ')}, v AS (SELECT a, b FROM pr WHERE c / (n_a + n_b - c + 1e-8::DOUBLE) > 0.1), u AS (SELECT a AS src, b AS dst FROM v UNION SELECT b, a FROM v),
+dg AS (SELECT ra_id AS id, count(u.src) AS d FROM b LEFT JOIN u ON u.src = b.ra_id GROUP BY 1),
+od AS (SELECT 'given' AS strategy, id, row_number() OVER (ORDER BY id) AS pos FROM dg UNION ALL SELECT 'degree', id, row_number() OVER (ORDER BY d, id) FROM dg UNION ALL SELECT 'largest_first', id, row_number() OVER (ORDER BY d DESC, id) FROM dg),
+cl(strategy, pos, done) AS (SELECT DISTINCT strategy, 0::BIGINT, map([-1], [-1]) FROM od
+ UNION ALL SELECT cl.strategy, o.pos, map_concat(cl.done, map([o.id], [list_min(list_filter([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10], lambda k: NOT list_contains(list_transform(nb.ns, lambda q: coalesce(cl.done[q], -1)), k)))]))
+ FROM cl JOIN od o ON o.strategy = cl.strategy AND o.pos = cl.pos + 1 JOIN (SELECT ra_id AS id, coalesce(list(u.dst) FILTER (WHERE u.dst IS NOT NULL), []) AS ns FROM b LEFT JOIN u ON u.src = b.ra_id GROUP BY 1) nb ON nb.id = o.id)
+SELECT strategy, id::INT AS id, color::INT AS color FROM (SELECT strategy, unnest(map_keys(done)) AS id, unnest(map_values(done)) AS color FROM cl WHERE pos = 10) WHERE id >= 0""")
 def graph_coloring(spark, sf_dir):
     g = graph.as_sets(_region_graph(spark, sf_dir))
     rows = [(o, v, c) for o in ("given", "degree", "largest_first") for v, c in graph.greedy_coloring(g, o).items()]
@@ -888,6 +950,13 @@ def wrapped_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", plotdata.wrapped(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 20).alias("text"))
 
 
+@query(f"WITH {_E} SELECT a.sample_id AS src, b.sample_id AS dst, round(a.x, 6) AS x0, round(a.y, 6) AS y0, round(b.x, 6) AS x1, round(b.y, 6) AS y1 FROM e a JOIN e b ON a.sample_id < b.sample_id WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 0.02")
+def graph_segments(spark, sf_dir):
+    samples = _samples(spark, sf_dir)
+    rows = plotdata.graph_segments(joins.radius_graph(samples, 0.02), samples)
+    return rows.select("src", "dst", *[_round(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 # ---- boxes and labels
 
 _BOX = "bx AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + l_tax * 100 + 1 AS x1, l_discount * 100 + 5 AS y1, l_orderkey % 100 AS p FROM lineitem)"
@@ -982,6 +1051,31 @@ def label_quality(spark, sf_dir):
 # ---- areas
 
 
+def _cut_sql(a: str, b: str) -> str:
+    return f"(({a} - 0.25::DOUBLE) / ({a} - {b}))"
+
+
+def _area_sql() -> str:
+    """Share of a cell above the level, by its corners a = 00, b = 10, c = 01, d = 11."""
+    z = {"a": "z00", "b": "z10", "c": "z01", "d": "z11"}
+    beside = {"a": "bc", "b": "ad", "c": "da", "d": "cb"}
+    tri = {k: f"({_cut_sql(z[k], z[n[0]])} * {_cut_sql(z[k], z[n[1]])} / 2)" for k, n in beside.items()}
+    side = lambda p, q, r, s: f"({_cut_sql(z[p], z[q])} + {_cut_sql(z[r], z[s])}) / 2"
+    one = " ".join(f"WHEN n = 1 AND {k} THEN {tri[k]}" for k in z)
+    three = " ".join(f"WHEN n = 3 AND NOT {k} THEN 1 - {tri[k]}" for k in z)
+    two = f"WHEN a AND c THEN {side('a', 'b', 'c', 'd')} WHEN b AND d THEN {side('b', 'a', 'd', 'c')} WHEN a AND b THEN {side('a', 'c', 'b', 'd')} WHEN c AND d THEN {side('c', 'a', 'd', 'b')}"
+    mean = "(z00 + z10 + z01 + z11) / 4 > 0.25"
+    saddle = f"WHEN a AND d THEN CASE WHEN {mean} THEN 1 - {tri['b']} - {tri['c']} ELSE {tri['a']} + {tri['d']} END ELSE CASE WHEN {mean} THEN 1 - {tri['a']} - {tri['d']} ELSE {tri['b']} + {tri['c']} END"
+    return f"CASE WHEN n = 4 THEN 1 {one} {three} {two} {saddle} END"
+
+
+@query(f"""WITH {_INSIDE}, ar AS (SELECT ind_id, {_area_sql()} AS s FROM (SELECT *, (z00 > 0.25)::INT + (z10 > 0.25)::INT + (z01 > 0.25)::INT + (z11 > 0.25)::INT AS n, z00 > 0.25 AS a, z10 > 0.25 AS b, z01 > 0.25 AS c, z11 > 0.25 AS d FROM cl) WHERE n > 0)
+SELECT ind_id, round(sum(s) * any_value(dx * dy), 6) AS area FROM ar, g GROUP BY 1""")
+def region_area(spark, sf_dir):
+    _, grid, _, cells = _cells(spark, sf_dir)
+    return geometry.region_areas(cells, grid).select("ind_id", _round("area").alias("area"))
+
+
 @query()
 def area_iou(spark, sf_dir):
     _, grid, _, cells = _cells(spark, sf_dir)

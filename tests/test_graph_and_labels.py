@@ -87,3 +87,10 @@ def test_labels():
         labels.optimize([a], [], b, axes)
     fit = labels.fit_axes(lambda lim: [(0, 0, 2, 1), (1, 3, 4, 5)], samples=(0, 0, 3, 3))
     assert fit[2] - fit[0] == pytest.approx(fit[3] - fit[1]) and fit[0] <= 0 and fit[3] >= 5
+
+
+def test_flatten():
+    from terrane.functions.lists import flatten
+
+    assert flatten([[1], 2, [[3, 4]], 5]) == [1, 2, 3, 4, 5]
+    assert flatten(7) == [7] and flatten([]) == [] and flatten([(1, 2), []]) == [(1, 2)]
