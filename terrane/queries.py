@@ -84,11 +84,6 @@ def filter_constant(spark, sf_dir):
     return spark.createDataFrame([(c, 1) for c in kept], "name string, keep int")
 
 
-def _one_variable(spark, sf_dir, name, column):
-    df = table(spark, sf_dir, name)
-    return ingest(df.select(F.monotonically_increasing_id().alias("sample_id"), column), "sample_id")
-
-
 @query("SELECT ord::INT AS ord, count(*)::BIGINT AS n FROM (SELECT (p_size >= 10.5)::INT + (p_size >= 20.5)::INT + (p_size >= 30.5)::INT + (p_size >= 40.5)::INT AS ord FROM part) GROUP BY 1")
 def discretize_edges(spark, sf_dir):
     data = ingest(_parts(spark, sf_dir).select("sample_id", "p_size"), "sample_id")
