@@ -65,6 +65,13 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear_workspace(spark: SparkSession) -> None:
+    """Remove all tables that operators have left in the shared folder; no result that still reads them works then."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/terrane")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
