@@ -83,6 +83,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         runs.add(found.where(F.col("batch") == b))
     discard(found)
     repeated = runs.entries().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+    repeated = materialize(repeated, "repeated-lines")  # a table of its own, so that the join can split a hot line
     placed = rows.select("doc", F.xxhash64("text").alias("version"), F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
     placed = placed.where(F.length("key") >= min_chars).select("doc", "version", "pos", key_hash(F.col("key")).alias("k")).select("doc", "version", "pos", "k.h1", "k.h2")
     dropped = placed.join(repeated, ["h1", "h2"]).where(F.col("doc") < F.col("last_doc"))
