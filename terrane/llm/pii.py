@@ -130,6 +130,9 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if told.limit(1).count():
         named = _holding(rows, told, block).groupBy("doc", "version").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("any"))
         named = named.select(F.col("doc").alias("d"), F.col("version").alias("v"), F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), "any", F.lit(r")(?![\p{L}\p{N}])")).alias("pattern"))
+        named = materialize(named, "named")
+        if named.count() <= block:  # else both sides are shuffled
+            named = F.broadcast(named)
         found = rows.join(named, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")))
         found = found.select("doc", "version", F.lit("term").alias("kind"), F.posexplode(matches(F.col("text"), F.col("pattern"), 0)).alias("pos", "m"))
         spans = spans.unionByName(_placed(found).select("doc", "version", "kind", "start", "end"))
