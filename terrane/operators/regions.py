@@ -64,52 +64,44 @@ def region_cells(bins: DataFrame, grid: Grid, bandwidth: float, kernel: str = "g
     return bins.groupBy("ind_id").applyInPandas(run, CELLS)
 
 
-def _cut(a: Column, b: Column, level: float) -> Column:
-    """How far from corner a the level lies on the way to corner b."""
-    return (a - level) / (a - b)
-
-
 def part_at(level: float) -> Column:
-    """Part in which the place (fx, fy) of a cell lies; null outside of the region. Borders are inside."""
-    z = {c: F.col(f"z{c}") for c in CORNERS}
-    p = {c: F.col(f"p{c}") for c in CORNERS}
-    fx, fy = F.col("fx"), F.col("fy")
-    up = {c: z[c] > level for c in CORNERS}
-    count = sum((up[c].cast("int") for c in CORNERS[1:]), up["00"].cast("int"))
-    along = {"00": (fx, fy, "10", "01"), "10": (1 - fx, fy, "00", "11"), "01": (fx, 1 - fy, "11", "00"), "11": (1 - fx, 1 - fy, "01", "10")}
-
-    def corner(c: str) -> Column:
+    """Part in which the place (fx, fy) of a cell lies; null outside of the region. Borders are inside.
+
+    One SQL expression: four corners give many cases, and building them as columns one by one takes a second.
+    """
+    at = f"{level!r}D"
+    z = {c: f"z{c}" for c in CORNERS}
+    up = {c: f"(z{c} > {at})" for c in CORNERS}
+    count = "(" + " + ".join(f"int({up[c]})" for c in CORNERS) + ")"
+    beyond = f"(z00 + z10 + z01 + z11) / 4 > {at}"
+    along = {"00": ("fx", "fy", "10", "01"), "10": ("(1 - fx)", "fy", "00", "11"), "01": ("fx", "(1 - fy)", "11", "00"), "11": ("(1 - fx)", "(1 - fy)", "01", "10")}
+
+    def cut(a: str, b: str) -> str:
+        """How far from corner a the level lies on the way to corner b."""
+        return f"(({z[a]} - {at}) / ({z[a]} - {z[b]}))"
+
+    def corner(c: str) -> str:
         """Distance from a corner in units of the triangle that the level cuts off there."""
         dx, dy, nx, ny = along[c]
-        return dx / _cut(z[c], z[nx], level) + dy / _cut(z[c], z[ny], level)
-
-    def single(c: str) -> Column:
-        return F.when(corner(c) <= 1, p[c])
+        return f"({dx} / {cut(c, nx)} + {dy} / {cut(c, ny)})"
 
-    def missing(c: str, keep: str) -> Column:
-        return F.when(corner(c) >= 1, p[keep])
+    def single(c: str) -> str:
+        return f"CASE WHEN {corner(c)} <= 1 THEN p{c} END"
 
-    def side(a: str, b: str, na: str, nb: str, far: Column, run: Column) -> Column:
+    def side(a: str, b: str, na: str, nb: str, far: str, run: str) -> str:
         """Two corners a and b of one side; ``far`` is the distance from it, ``run`` the place along it."""
-        ta, tb = _cut(z[a], z[na], level), _cut(z[b], z[nb], level)
-        return F.when(far <= ta + (tb - ta) * run, p[a])
+        return f"CASE WHEN {far} <= {cut(a, na)} + ({cut(b, nb)} - {cut(a, na)}) * {run} THEN p{a} END"
 
-    def saddle(a: str, b: str, c: str, d: str) -> Column:
+    def saddle(a: str, b: str, c: str, d: str) -> str:
         """Two diagonal corners a and b above, c and d below."""
-        mean = sum((z[k] for k in CORNERS[1:]), z["00"]) / 4
-        return F.when(mean > level, F.when((corner(c) >= 1) & (corner(d) >= 1), p[a])).otherwise(F.coalesce(single(a), single(b)))
-
-    out = F.when(count == 4, p["00"])
-    for c in CORNERS:
-        out = out.when((count == 1) & up[c], single(c))
-    for c, keep in (("00", "11"), ("10", "01"), ("01", "10"), ("11", "00")):
-        out = out.when((count == 3) & ~up[c], missing(c, keep))
-    out = out.when(up["00"] & up["01"] & (count == 2), side("00", "01", "10", "11", fx, fy))
-    out = out.when(up["10"] & up["11"] & (count == 2), side("10", "11", "00", "01", 1 - fx, fy))
-    out = out.when(up["00"] & up["10"] & (count == 2), side("00", "10", "01", "11", fy, fx))
-    out = out.when(up["01"] & up["11"] & (count == 2), side("01", "11", "00", "10", 1 - fy, fx))
-    out = out.when(up["00"] & up["11"] & (count == 2), saddle("00", "11", "10", "01"))
-    return out.when(up["10"] & up["01"] & (count == 2), saddle("10", "01", "00", "11"))
+        return f"CASE WHEN {beyond} THEN CASE WHEN {corner(c)} >= 1 AND {corner(d)} >= 1 THEN p{a} END ELSE coalesce({single(a)}, {single(b)}) END"
+
+    cases = [(f"{count} = 4", "p00")]
+    cases += [(f"{count} = 1 AND {up[c]}", single(c)) for c in CORNERS]
+    cases += [(f"{count} = 3 AND NOT {up[c]}", f"CASE WHEN {corner(c)} >= 1 THEN p{keep} END") for c, keep in (("00", "11"), ("10", "01"), ("01", "10"), ("11", "00"))]
+    pairs = [("00", "01", side("00", "01", "10", "11", "fx", "fy")), ("10", "11", side("10", "11", "00", "01", "(1 - fx)", "fy")), ("00", "10", side("00", "10", "01", "11", "fy", "fx")), ("01", "11", side("01", "11", "00", "10", "(1 - fy)", "fx")), ("00", "11", saddle("00", "11", "10", "01")), ("10", "01", saddle("10", "01", "00", "11"))]
+    cases += [(f"{count} = 2 AND {up[a]} AND {up[b]}", then) for a, b, then in pairs]
+    return F.expr("CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in cases) + " END")
 
 
 def samples_inside(samples: DataFrame, cells: DataFrame, grid: Grid, level: float = 0.25) -> DataFrame:

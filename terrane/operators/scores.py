@@ -7,6 +7,7 @@ of a region's description, inside(ra_id, sample_id) and members(ra_id, sample_id
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +25,18 @@ class Scene:
     members: DataFrame
     n_samples: int
 
+    @cached_property
+    def purities(self) -> DataFrame:
+        """(ra_id, n, purity); a row for each region, made once."""
+        return purity(self.inside, self.members).persist()
+
+    @cached_property
+    def shares(self) -> DataFrame:
+        """(a, b, j): Jaccard share of the pairs of regions that have common samples, made once."""
+        n = sizes(self.inside)
+        rows = shared_counts(self.inside).join(n.select(F.col("ra_id").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("ra_id").alias("b"), F.col("n").alias("n_b")), "b")
+        return rows.select("a", "b", (F.col("n_shared") / (F.col("n_a") + F.col("n_b") - F.col("n_shared") + EPSILON)).alias("j")).persist()
+
 
 def _counts(scene: Scene, panels: DataFrame) -> DataFrame:
     return panels.join(scene.vars, "ra_id").groupBy("panel", "var_id").agg(F.count(F.lit(1)).alias("n"))
@@ -42,8 +55,7 @@ def variable_occurs_in_all_regions(scene: Scene, panels: DataFrame, share: float
 
 
 def mean_purity(scene: Scene, panels: DataFrame) -> DataFrame:
-    own = purity(scene.inside, scene.members)
-    return panels.join(own, "ra_id", "left").groupBy("panel").agg(F.avg(F.coalesce("purity", F.lit(0.0))).alias("score"))
+    return panels.join(scene.purities, "ra_id", "left").groupBy("panel").agg(F.avg(F.coalesce("purity", F.lit(0.0))).alias("score"))
 
 
 def sample_coverage(scene: Scene, panels: DataFrame) -> DataFrame:
@@ -58,10 +70,7 @@ def num_base_vars(scene: Scene, panels: DataFrame) -> DataFrame:
 
 def mean_overlap(scene: Scene, panels: DataFrame) -> DataFrame:
     """One less the mean Jaccard share of the panel's pairs; null for a single region."""
-    n = sizes(scene.inside)
-    shared = shared_counts(scene.inside).join(n.select(F.col("ra_id").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("ra_id").alias("b"), F.col("n").alias("n_b")), "b")
-    shared = shared.select("a", "b", (F.col("n_shared") / (F.col("n_a") + F.col("n_b") - F.col("n_shared") + EPSILON)).alias("j"))
-    both = panels.select("panel", F.col("ra_id").alias("a")).join(panels.select("panel", F.col("ra_id").alias("b")), "panel").where(F.col("a") < F.col("b")).join(shared, ["a", "b"], "left")
+    both = panels.select("panel", F.col("ra_id").alias("a")).join(panels.select("panel", F.col("ra_id").alias("b")), "panel").where(F.col("a") < F.col("b")).join(scene.shares, ["a", "b"], "left")
     mean = both.groupBy("panel").agg(F.avg(F.coalesce("j", F.lit(0.0))).alias("j"))
     return panels.select("panel").distinct().join(mean, "panel", "left").select("panel", (1 - F.col("j")).alias("score"))
 
