@@ -149,6 +149,7 @@ class LogBilinear:
         self.e = draw.normal(0, 0.1, (len(prior), size)).astype(np.float32)
         self.c = np.ones((2, size), np.float32)
         self.b = np.log(prior).astype(np.float32)
+        self.tokens = 0  # learned from
 
     def parts(self) -> list[np.ndarray]:
         return [self.r, self.e, self.c, self.b[:, None]]
@@ -231,8 +232,8 @@ def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     out[places[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, rounds: int = 2, stride: int = 4, size: int = 24) -> LogBilinear:
-    """Each round takes its share of the training documents and of each every ``stride``-th token."""
+def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, rounds: int = 2, size: int = 24) -> LogBilinear:
+    """Each round takes its share of the training documents and learns from every token of them."""
     model = LogBilinear(counts.prior, size)
     spark = df.sparkSession
     for turn in range(rounds):
@@ -247,9 +248,8 @@ def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, rounds: int
                 t = Tokens(batch.column(1).to_pylist())
                 words = np.append(t.find(counts.vocabulary, counts.numbers, OTHER), END)[t.flat]
                 one, two = t.contexts(words)
-                taken = np.arange(turn % stride, len(words), stride)
-                trainer.draw.shuffle(taken)
-                trainer.learn(one[taken], two[taken], words[taken])
+                order = trainer.draw.permutation(len(words))
+                trainer.learn(one[order], two[order], words[order])
 
             def finish():
                 flat = trainer.m.flat()
@@ -260,14 +260,15 @@ def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, rounds: int
             work.finish = finish  # type: ignore[attr-defined]
             return work
 
-        found = map_texts(own, id_col, text_col, worker, "i bigint, x double, n bigint", limit=SLICE).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
+        found = map_texts(own, id_col, text_col, worker, "i bigint, x double, n bigint", limit=SLICE).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
         rows = found.toPandas().sort_values("i")  # a row for each parameter
         if len(rows) == len(model.flat()) and np.isfinite(rows["x"]).all():
             model.load(rows["x"].to_numpy())
+            model.tokens += int(rows["n"].iloc[0])
     return model
 
 
-def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1024, common: int = 100_000, rounds: int = 2, stride: int = 4) -> DataFrame:
+def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1024, common: int = 100_000, rounds: int = 2) -> DataFrame:
     """Log10 probabilities of every whole text, an end among its tokens.
 
     Learns from the rows where ``held_out`` is false. Columns: id, held_out, n_tokens, n_known (tokens that training
@@ -279,7 +280,7 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     train_rows = df.where(~F.coalesce(held_out, F.lit(False)))
     counted = materialize(count_words(train_rows, id_col, text_col), "counts")
     counts = summarise(counted, common, vocabulary)
-    model = train(train_rows, counts, id_col, text_col, rounds, stride)
+    model = train(train_rows, counts, id_col, text_col, rounds)
     shared = df.sparkSession.sparkContext.broadcast((counts, model))
 
     def worker():

@@ -337,3 +337,13 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = score_texts(docs, fold(F.col("doc_id"), 5) == 1).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
+
+
+def test_neural_model_learns_from_every_position(spark):
+    """As many positions are learned from as training has tokens and ends, whatever the number of rounds."""
+    from terrane.llm.lm_score import count_words, summarise, train
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 23}" for j in range(i % 40))) for i in range(150)], "doc_id long, text string").repartition(3)
+    counts = summarise(count_words(docs, "doc_id", "text"), 1000, 16)
+    for rounds in (1, 2):
+        assert train(docs, counts, "doc_id", "text", rounds).tokens == counts.n == sum(i % 40 + 1 for i in range(150))
