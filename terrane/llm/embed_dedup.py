@@ -35,11 +35,11 @@ class Shard:
         self.graph = Graph(self.unit, degree, beam)
         self.root = np.arange(len(ids))
 
-    def links(self, vectors: np.ndarray, threshold: float, target: float) -> list[np.ndarray]:
-        """Places of the shard's vectors whose cosine reaches the threshold, for every query."""
+    def links(self, vectors: np.ndarray, threshold: float, target: float, own: bool = False) -> list[np.ndarray]:
+        """Places of the shard's vectors whose cosine reaches the threshold, for every query; ``own``: of the shard's vectors."""
         unit = _unit(vectors)
         out = []
-        for q, near in zip(unit, within(self.graph, unit, threshold - SLACK, target=target)):
+        for q, near in zip(unit, within(self.graph, unit, threshold - SLACK, target=target, own=own)):
             out.append(near[self.unit[near] @ q >= threshold] if len(near) else near)
         return out
 
@@ -97,7 +97,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     null, empty, zero or hold null or non-finite components, and those with a null label, are linked with nothing;
     vectors of different lengths neither. A row without id counts nowhere and is kept, with a null component; rows
     of one id are one node of the components. Other columns are not read. Every link found is verified; links
-    are missed where a search misses them, of which audits against whole shards allow 1 - ``target``.
+    are missed where a search misses them, of which audits against whole shards allow 1 - ``target``; blocks of
+    queries with too few links for an audit are held against whole shards.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = materialize(_keys(df, id_col, vector_col, label_col, threshold), "vectors")
@@ -112,7 +113,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key").reset_index(drop=True)
         own = Shard(pdf["id"].to_numpy(), pdf["copies"].to_numpy(), vectors := _stack(pdf["vector"]), degree, beam)
-        links = own.links(vectors, threshold, target)
+        links = own.links(vectors, threshold, target, own=True)
         links = [near[near != i] for i, near in enumerate(links)]
         own.settle(links)
         out = pdf[["label", "shard", "shards", "key", "id"]].copy()

@@ -178,19 +178,38 @@ class Graph:
         return self._beam(self.layers[0], q, entry, min(beam, len(self.x)))
 
 
-def within(graph: Graph, q: np.ndarray, threshold: float, beam: int = 16, target: float = 0.99, audit: int = 64, chunk: int = 1024) -> list[np.ndarray]:
+def within(graph: Graph, q: np.ndarray, threshold: float, beam: int = 16, target: float = 0.99, audit: int = 64, chunk: int = 1024, evidence: int = 32, own: bool = False) -> list[np.ndarray]:
     """Vectors at ``threshold`` or more for every query. A beam that is full of such vectors is widened, up to the
-    whole graph; all beams are widened until an audit of some queries against all vectors passes."""
-    n = len(graph.x)
-    sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)) if len(q) else np.zeros(0, int)
-    truth = (q[sample].astype(np.float32) @ graph.x.T) >= threshold
-    while len(sample) and beam < n:
-        found = _within(graph, q[sample], threshold, beam, chunk)
-        hits = sum(int(truth[i][f].sum()) for i, f in enumerate(found))
-        if hits >= target * truth.sum():
+    whole graph; all beams are widened until an audit of some queries against all vectors passes.
+
+    Queries are audited, ``audit`` at first and twice as many each time, until ``evidence`` of them have links, but
+    fewer than the beam holds; where no so many are, all queries have been held against all vectors and that is the
+    answer. The mean recall of a query has to reach ``target``, for those queries and for those with more links.
+    ``own``: the queries are the graph's vectors, and that each finds itself counts for nothing."""
+    n, few = len(graph.x), beam
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    truth: dict[int, np.ndarray] = {}
+    links: dict[int, int] = {}  # how many, of the audited queries that have any
+    while len(truth) < len(q) and sum(k < few for k in links.values()) < evidence:
+        part = order[len(truth) : max(audit, 2 * len(truth))]
+        for lo in range(0, len(part), 256):
+            sims = q[part[lo : lo + 256]].astype(np.float32) @ graph.x.T
+            for i, s in zip(part[lo : lo + 256].tolist(), sims):
+                truth[i] = np.flatnonzero(s >= threshold)
+                if k := len(truth[i]) - int(own and s[i] >= threshold):
+                    links[i] = k
+    if len(truth) == len(q):
+        return [truth[i] for i in range(len(q))]
+    groups = [g for g in ([i for i, k in links.items() if k < few], [i for i, k in links.items() if k >= few]) if g]
+    while beam < n:
+        found = [_within(graph, q[g], threshold, beam, chunk) for g in groups]
+        if all(np.mean([np.isin(truth[i][truth[i] != i] if own else truth[i], f).mean() for i, f in zip(g, fs)]) >= target for g, fs in zip(groups, found)):
             break
         beam *= 2
-    return _within(graph, q, threshold, beam, chunk)
+    out = _within(graph, q, threshold, beam, chunk)
+    for i, t in truth.items():
+        out[i] = t
+    return out
 
 
 def _within(graph: Graph, q: np.ndarray, threshold: float, beam: int, chunk: int) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm.components import connected_components
 from terrane.llm.embed_dedup import near_vectors
-from terrane.llm.hnsw import Graph, within
+from terrane.llm.hnsw import Graph, _within, within
 from terrane.llm.minhash import bands_for, cross_links, near_duplicates
 
 
@@ -160,3 +160,33 @@ def test_graph_recall():
     exact = [np.flatnonzero(x @ v >= 0.95) for v in x]
     assert sum(len(np.intersect1d(a, b)) for a, b in zip(found, exact)) >= 0.98 * sum(map(len, exact))
     assert Graph(x[:1]).search(x[:2], 8)[0][:, 0].tolist() == [0, 0]
+
+
+def test_sparse_links_are_found_without_evidence():
+    """Few links among many queries, and few beside a hot group: an audit that sees none, or the hot ones alone, proves nothing."""
+    r = np.random.default_rng(5)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    x = unit(r.normal(size=(3000, 128)))
+    x[:200] = unit(x[0] + r.normal(0, 0.002, (200, 128)))
+    g = Graph(x)
+    near = unit(x[500:1300] + r.normal(0, 0.009, (800, 128)))
+    near = near[[not len(f) for f in _within(g, near, 0.98, 16, 1024)]][:20]  # what the narrow beam misses
+    assert len(near) and ((near @ x.T >= 0.98).sum(1) > 0).all()
+    for others in (unit(r.normal(size=(1500, 128))), np.concatenate((x[:200], unit(r.normal(size=(1300, 128)))))):
+        q = np.concatenate((others[:1], near, others[1:]))
+        found = within(g, q, 0.98)
+        assert [sorted(f.tolist()) for f in found] == [np.flatnonzero(q[i] @ x.T >= 0.98).tolist() for i in range(len(q))]
+
+
+def test_sparse_links_of_large_shards(spark):
+    """A label of several shards of far more than 128 vectors, a few of which have a partner."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1600, 48))
+    x[1500:] = x[:100] + r.normal(0, 0.1, (100, 48))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(int(a), int(b)) for a, b in np.argwhere(unit @ unit.T >= 0.98) if a < b]
+    count = np.bincount(np.array(links).ravel(), minlength=len(x))
+    found = roots(range(len(x)), links)
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard_size=400).collect()
+    assert {o["vec_id"]: (o["n_links"], o["component_id"]) for o in out} == {i: (count[i], found[i]) for i in range(len(x))}
