@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,28 +37,41 @@ def kmeans_edges(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(points))
     if k < 2:
         return np.zeros(0)
-    lo, hi = points[0], points[-1]
-    centres = lo + (hi - lo) * (np.arange(k) + 0.5) / k
     tolerance = 1e-4 * np.average((points - np.average(points, weights=weights)) ** 2, weights=weights)
-    labels = None
+
+    def measure(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        new = np.searchsorted(edges, points, side="right")
+        return np.bincount(new, minlength=k), np.bincount(new, weights, k), np.bincount(new, weights * points, k)
+
+    def worst(edges: np.ndarray, centres: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+        new = np.searchsorted(edges, points, side="right")
+        far = np.where(sizes[new] > 1, np.abs(points - centres[new]), -1)
+        return points[np.argsort(-far, kind="stable")[:n]]
+
+    return _lloyd(points[0], points[-1], k, tolerance, measure, worst)
+
+
+def _lloyd(lo: float, hi: float, k: int, tolerance: float, measure: Callable, worst: Callable) -> np.ndarray:
+    """Edges from ``measure(edges)``: distinct points, mass and weighted sum of every bin, and ``worst(edges, centres,
+    sizes, n)``: the n worst served points, of equals the smallest, those that are alone in their bin last."""
+    centres = lo + (hi - lo) * (np.arange(k) + 0.5) / k
+    before = None  # bins are stretches of the sorted points: with equal sizes they are equal
     for _ in range(MAX_ROUNDS):
         for _ in range(k + 1):
             centres.sort()
-            new = np.searchsorted((centres[1:] + centres[:-1]) / 2, points, side="right")
-            empty = np.flatnonzero(np.bincount(new, minlength=k) == 0)
+            edges = (centres[1:] + centres[:-1]) / 2
+            sizes, mass, total = measure(edges)
+            empty = np.flatnonzero(sizes == 0)
             if not len(empty):
                 break
-            sizes = np.bincount(new, minlength=k)
-            far = np.where(sizes[new] > 1, np.abs(points - centres[new]), -1)
-            for e, p in zip(empty, np.argsort(-far, kind="stable")):
-                centres[e] = points[p]
-        mass = np.bincount(new, weights, k)
-        moved = np.where(mass > 0, np.bincount(new, weights * points, k) / np.where(mass > 0, mass, 1), centres)
+            for e, p in zip(empty, worst(edges, centres.copy(), sizes, len(empty))):
+                centres[e] = p
+        moved = np.where(mass > 0, total / np.where(mass > 0, mass, 1), centres)
         shift = float(((moved - centres) ** 2).sum())
         centres = moved
-        if labels is not None and np.array_equal(new, labels) or shift <= tolerance:
+        if before is not None and np.array_equal(sizes, before) or shift <= tolerance:
             break
-        labels = new
+        before = sizes
     centres.sort()
     edges = (centres[1:] + centres[:-1]) / 2
     return edges[np.concatenate(([True], np.diff(edges) > 1e-8))]
@@ -65,20 +79,30 @@ def kmeans_edges(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
 
 def _distributed_edges(points: DataFrame, k: int) -> list[float]:
     """The same bins by passes over (value, n) that aggregate on every executor."""
-    lo, hi, mean, spread = points.agg(F.min("value"), F.max("value"), F.sum(F.col("value") * F.col("n")) / F.sum("n"), F.sum(F.col("value") ** 2 * F.col("n")) / F.sum("n")).first()
-    centres = lo + (hi - lo) * (np.arange(k) + 0.5) / k
-    tolerance = 1e-4 * max(0.0, spread - mean**2)
-    for _ in range(MAX_ROUNDS):
-        edges = ((centres[1:] + centres[:-1]) / 2).tolist()
-        of = F.lit(0)
-        for e in edges:
-            of = of + F.when(F.col("value") >= e, 1).otherwise(0)
-        rows = {r["bin"]: r["centre"] for r in points.groupBy(of.alias("bin")).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("centre")).collect()}  # k rows
-        moved = np.array([rows.get(i, c) for i, c in enumerate(centres)])
-        shift, centres = float(((moved - centres) ** 2).sum()), np.sort(moved)
-        if shift <= tolerance:
-            break
-    return ((centres[1:] + centres[:-1]) / 2).tolist()
+    value, n = F.col("value"), F.col("n")
+    lo, hi, mean, distinct = points.agg(F.min(value), F.max(value), F.sum(value * n) / F.sum(n), F.count(F.lit(1))).first()
+    k = min(k, distinct)
+    if k < 2:
+        return []
+    tolerance = 1e-4 * points.agg(F.sum((value - mean) ** 2 * n) / F.sum(n)).first()[0]
+
+    def bin_of(edges: np.ndarray):
+        return sum((F.when(value >= e, 1).otherwise(0) for e in edges.tolist()), F.lit(0))
+
+    def measure(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.zeros((3, k))
+        for r in points.groupBy(bin_of(edges).alias("bin")).agg(F.count(F.lit(1)).alias("size"), F.sum(n).alias("mass"), F.sum(value * n).alias("total")).collect():  # k rows
+            out[:, r["bin"]] = r["size"], r["mass"], r["total"]
+        return out[0].astype(int), out[1], out[2]
+
+    def worst(edges: np.ndarray, centres: np.ndarray, sizes: np.ndarray, count: int) -> np.ndarray:
+        of = bin_of(edges) + 1
+        centre = F.element_at(F.array(*map(F.lit, centres.tolist())), of)
+        alone = F.element_at(F.array(*map(F.lit, (sizes < 2).tolist())), of)
+        rows = points.select(value, F.when(alone, -1.0).otherwise(F.abs(value - centre)).alias("far"))
+        return np.array([r["value"] for r in rows.orderBy(F.desc("far"), "value").limit(count).collect()])  # k rows at most
+
+    return _lloyd(lo, hi, k, tolerance, measure, worst).tolist()
 
 
 def bin_edges(numbers: DataFrame, n_bins: int = 5) -> dict[int, list[float]]:

@@ -80,3 +80,16 @@ def test_exact_sample(spark):
     one, two = (sorted(r["id"] for r in sample_exact(df, 10, "id", 1).collect()) for _ in range(2))
     assert one == two and len(set(one)) == 10
     assert sample_exact(df, 500, "id").count() == 100
+
+
+@pytest.mark.parametrize("k", [2, 5, 8])
+def test_distributed_bins_are_the_same_where_even_bins_are_empty(spark, monkeypatch, k):
+    """Long-tailed values, which leave most even centres without points, and fewer values than bins."""
+    skewed = [round(1.01**i, 6) for i in range(600)] * 2 + [1e4, 1e5, 1e6]
+    rows = [(i, v, float(i % 3), 7.0) for i, v in enumerate(skewed)]
+    data = ingest(spark.createDataFrame(rows, "sample_id int, v double, few double, same double"), "sample_id")
+    one = encode.bin_edges(data.numbers, k)
+    monkeypatch.setattr(encode, "ONE_TASK", 0)
+    far = encode.bin_edges(data.numbers, k)
+    assert one.keys() == far.keys() and [len(one[v]) for v in sorted(one)] == [len(far[v]) for v in sorted(one)]
+    assert all(far[v] == pytest.approx(one[v], rel=1e-9) for v in one)
