@@ -347,6 +347,27 @@ def kde_scaled(spark, sf_dir):
     return density(binned(samples, grid, ind.membership), grid, scale).where("gx % 5 = 0 AND gy % 5 = 0").select("ind_id", "gx", "gy", _round("z_sum", 7).alias("z_sum"), _round("z_max", 5).alias("z_max"))
 
 
+@query(f"WITH {_BINNED} SELECT ind_id, gx, gy, round(w, 6) AS w FROM w")
+def kde_binned_whole(spark, sf_dir):
+    """All weights, however small."""
+    samples, _, grid, ind = _frame(spark, sf_dir)
+    return binned(samples, grid, ind.membership).select("ind_id", "gx", "gy", _round("w").alias("w"))
+
+
+@query(f"WITH {_SMOOTH} SELECT ind_id, gx, gy, round(z, 5) AS z FROM z")
+def kde_smoothed_whole(spark, sf_dir):
+    """Densities at all grid points."""
+    samples, scale, grid, ind = _frame(spark, sf_dir)
+    return density(binned(samples, grid, ind.membership), grid, scale).select("ind_id", "gx", "gy", _round("z", 5).alias("z"))
+
+
+@query(f"WITH {_SMOOTH} SELECT ind_id, gx, gy, round(z_sum, 7) AS z_sum, round(z_max, 5) AS z_max FROM zm")
+def kde_scaled_whole(spark, sf_dir):
+    """Scaled densities at all grid points."""
+    samples, scale, grid, ind = _frame(spark, sf_dir)
+    return density(binned(samples, grid, ind.membership), grid, scale).select("ind_id", "gx", "gy", _round("z_sum", 7).alias("z_sum"), _round("z_max", 5).alias("z_max"))
+
+
 _KERNEL_SQL = {
     "gaussian": ("1.0", "exp(-0.5::DOUBLE * u * u)"),
     "exponential": ("sqrt(0.5::DOUBLE)", "exp(-u)"),
@@ -374,6 +395,18 @@ def kde_kernels(spark, sf_dir):
     return out
 
 
+@query()
+def kde_kernels_whole(spark, sf_dir):
+    """Densities with all smooth kernels at all grid points, held against sums over all weights by a test."""
+    samples, scale, grid, ind = _frame(spark, sf_dir)
+    bins = binned(samples, grid, ind.membership).persist()
+    out = None
+    for kernel in _KERNEL_SQL:
+        own = density(bins, grid, scale, kernel).select(F.lit(kernel).alias("kernel"), "ind_id", "gx", "gy", _round("z", 4).alias("z"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query()
 def kde_box_kernel(spark, sf_dir):
     """Grid points above the level with the box kernel, whose edge falls on grid points."""

@@ -172,3 +172,27 @@ def test_merging_descriptions(spark):
         rows[r["ra_id"]].add(r["sample_id"])
     assert rows.get(2, set()) == rows[0] & rows[1]
     assert merge_overfragmented(space, {0: [a]})[0] == [a]
+
+
+def test_whole_grids_are_returned(spark):
+    """Every kernel's density at all 10,000 points of every indicator, against sums over all weights."""
+    import numpy as np
+
+    from terrane import queries as core
+    from terrane.operators.embedding import KERNELS, WIDTHS, binned
+
+    sf = "/root/testdata/sf0.001"
+    samples, scale, grid, ind = core._frame(spark, sf)
+    bins = binned(samples, grid, ind.membership).toPandas()
+    ids = set(bins["ind_id"])
+    assert core.queries()["kde_binned_whole"](spark, sf).count() == len(bins)
+    got = core.queries()["kde_kernels_whole"](spark, sf).toPandas()
+    assert len(got) == 8 * len(ids) * grid.n**2
+    t = np.arange(grid.n)
+    for ind_id in sorted(ids)[::4]:
+        w = bins[bins["ind_id"] == ind_id]
+        far = np.hypot(((t[:, None, None] - w["gx"].to_numpy()) * grid.dx), ((t[None, :, None] - w["gy"].to_numpy()) * grid.dy)) / scale
+        for kernel in sorted(set(KERNELS) - {"box"}):
+            own = got[(got["ind_id"] == ind_id) & (got["kernel"] == kernel)].sort_values(["gx", "gy"])
+            exact = (KERNELS[kernel](far / WIDTHS[kernel]) * w["w"].to_numpy()).sum(-1)
+            assert np.abs(own["z"].to_numpy().reshape(grid.n, grid.n) - exact).max() < 1e-4
