@@ -297,7 +297,7 @@ def test_scores_against_counts(spark, odd_docs, no_docs):
     held = fold(F.col("doc_id"), 5) == 1
     docs = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     for common in (3, 1000):
-        rows = score_texts(odd_docs, held, common=common, vocabulary=3 if common == 3 else 64).collect()
+        rows = score_texts(odd_docs, held, common=common, density=0.01 if common == 3 else 400.0).collect()
         words = {i: (t or "").encode().lower().split() + [None] for i, t in docs}
         counts = Counter(w for i, t in docs if fold_of(i, 5) != 1 for w in (t or "").encode().lower().split() + [None])
         n, v = sum(counts.values()), len(counts)
@@ -310,27 +310,101 @@ def test_scores_against_counts(spark, odd_docs, no_docs):
     assert score_texts(no_docs, held).count() == 0
 
 
+def toy_counts(words: dict[str, int], least: int, ends: int = 50):
+    """(vocabulary, its words) when words of fewer than ``least`` occurrences have no entry of their own."""
+    import numpy as np
+    import xxhash
+
+    from terrane.llm.lm_score import GROUPS, Vocabulary, _signed, group_of
+
+    h = np.array([_signed(xxhash.xxh64_intdigest(w.encode())) for w in words], np.int64)
+    g = np.array([group_of(w.encode()) for w in words])
+    c = np.array(list(words.values()))
+    rest = c < least
+    return Vocabulary(h[~rest], g[~rest], c[~rest].astype(float), np.bincount(g[rest], c[rest], GROUPS), np.bincount(g[rest], minlength=GROUPS).astype(float), ends)
+
+
+def plain_log_p(model, one: int, two: int, entry: int) -> float:
+    """log10 of the softmax over the groups times the softmax over the entries of the group, one product at a time."""
+    from math import exp
+
+    words = model.words
+    q = [model.r[one][j] * model.c[0][j] + model.r[two][j] * model.c[1][j] for j in range(model.size)] + [1.0]
+    dot = lambda v: sum(float(a) * float(b) for a, b in zip(q, v))
+    g = int(words.group[entry])
+    groups = [exp(dot(v)) for v in model.u]
+    members = {i: exp(dot(model.e[i])) for i in range(len(model.e)) if words.group[i] == g}
+    return log10(groups[g] / sum(groups) * members[entry] / sum(members.values()))
+
+
 def test_model_is_normalised_and_learns(spark):
     import numpy as np
 
     from terrane.llm.lm_score import LogBilinear, Trainer
 
     r = np.random.default_rng(0)
-    v = 12
-    prior = np.full(v, 1 / v)
-    model = LogBilinear(prior, 8)
-    every = np.arange(v)
-    total = np.exp(model.log_p(np.full(v, 3), np.full(v, 5), every)).sum()
-    assert abs(total - 1) < 1e-5
-    one = r.integers(0, v, 40_000)
-    word = (one + 1) % v  # the next word follows from the last one
-    two = r.integers(0, v, 40_000)
+    words = toy_counts({f"{a}xyz" if a % 2 else f"w{a}": 10 + a for a in range(24)}, 12)
+    every = np.arange(len(words.group))
+    model = LogBilinear(words, 8)
+    some = every[words.size[words.group] > 1][:10]
+    assert len(some) == 10 and abs(np.exp(model.log_p(np.full(len(every), 3), np.full(len(every), 5), every)).sum() - 1) < 1e-4
+    one, two = r.choice(some, 40_000), r.choice(some, 40_000)
+    word = some[(np.searchsorted(some, one) + 1) % len(some)]  # the next word follows from the last one
     before = model.log_p(one, two, word).mean()
-    trainer = Trainer(model, prior, batch=256)
+    trainer = Trainer(model, batch=256)
     for _ in range(3):
         trainer.learn(one, two, word)
     assert model.log_p(one, two, word).mean() > before + 0.5
-    assert abs(np.exp(model.log_p(np.full(v, 3), np.full(v, 5), every)).sum() - 1) < 1e-4
+    assert abs(np.exp(model.log_p(np.full(len(every), 3), np.full(len(every), 5), every)).sum() - 1) < 1e-4
+    for a, b, c in zip(one[:5], two[:5], word[:5]):
+        assert model.log_p(np.array([a]), np.array([b]), np.array([c]))[0] / np.log(10) == pytest.approx(plain_log_p(model, a, b, c), abs=1e-4)
+
+
+def test_tasks_draw_different_noise():
+    from terrane.llm.lm_score import LogBilinear, Trainer
+
+    model = LogBilinear(toy_counts({"a": 5}, 1), 4)
+    assert Trainer(model, seed=1).draw.random() != Trainer(model, seed=2).draw.random()
+
+
+@pytest.mark.parametrize(("density", "common"), [(400.0, 1000), (10.0, 1000), (10.0, 3), (1e-3, 3)])
+def test_scores_against_the_plain_model(spark, density, common, monkeypatch):
+    """Scores by the model's vectors, one token at a time, whatever words have entries and whatever counts are joined."""
+    from terrane.llm import lm_score
+
+    models = []
+    train = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    docs = [(i, " ".join(f"w{(i * j * j) % 31}{'abc'[j % 3]}" for j in range(i % 25)) + (" never" if i % 5 == 0 else "")) for i in range(60)]
+    rows = score_texts(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 5 == 0, density=density, common=common).collect()
+    counts = Counter(w for i, t in docs if i % 5 for w in t.split())
+    words = models[0].words
+    own = {int(k): int(e) for k, e in zip(words.keys, words.entry)}
+    for r in rows:
+        one = two = words.end
+        total = 0.0
+        for w in [*dict(docs)[r["doc_id"]].split(), None]:
+            g = lm_score.GROUPS if w is None else lm_score.group_of(w.encode())
+            entry = words.end if w is None else own.get(lm_score._signed(lm_score.xxhash.xxh64_intdigest(w.encode())), int(words.start[g]))
+            total += plain_log_p(models[0], one, two, entry)
+            if w is not None and entry == words.start[g]:
+                others = [c for v, c in counts.items() if lm_score.group_of(v.encode()) == g and lm_score._signed(lm_score.xxhash.xxh64_intdigest(v.encode())) not in own]
+                total += log10((counts[w] + 0.5) / (sum(others) + 0.5 * (len(others) + 1)))
+            one, two = entry, one
+        assert r["score"] == pytest.approx(total, rel=1e-4)
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    from terrane.llm.lm_score import summarise
+
+    sizes = []
+    for times in (1, 8):  # as many tokens of as many words each
+        counts = spark.range(200_000).selectExpr("id AS h", "cast(id % 512 AS int) AS g", f"cast({times} * 400000 / (id + 10) AS bigint) AS c").where("c > 0")
+        found = summarise(counts, 1000, 40.0)
+        n = found.n ** (2 / 3) / 40
+        assert len(found.words.keys) == counts.where(f"c >= greatest(3, {n})").count() <= 40 * found.n ** (1 / 3)
+        sizes.append(len(found.words.keys))
+    assert sizes[1] > 1.5 * sizes[0]
 
 
 def test_held_out_texts_are_likelier_than_by_counts(spark):
@@ -344,6 +418,6 @@ def test_neural_model_learns_from_every_position(spark):
     from terrane.llm.lm_score import count_words, summarise, train
 
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 23}" for j in range(i % 40))) for i in range(150)], "doc_id long, text string").repartition(3)
-    counts = summarise(count_words(docs, "doc_id", "text"), 1000, 16)
+    counts = summarise(count_words(docs, "doc_id", "text"), 1000, 16.0)
     for rounds in (1, 2):
         assert train(docs, counts, "doc_id", "text", rounds).tokens == counts.n == sum(i % 40 + 1 for i in range(150))
