@@ -1,6 +1,6 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation.
 
-Counts of all training tokens are made first. Words are grouped by their endings, so that any word, seen or
+Counts of all training tokens are made first. Words are grouped by ending and length, so that any word, seen or
 not, has a group. The words that occur often enough for the size of the corpus have entries of their own in
 their group; all others of a group are its rest entry, times the word's own share of the rest. The model
 predicts a vector from the vectors of the two entries before a token and from that the token's group and
@@ -24,21 +24,30 @@ from pyspark.sql import functions as F
 from terrane.llm.bpe import _Numbered
 from terrane.llm.common import ids, map_texts, materialize
 
-#: Groups of words by ending; the end of a text is a group of its own behind them.
-GROUPS = 512
-ENDING = 3
+#: Groups of words by their last bytes and by whether they are long; the end of a text is a group of its own behind them.
+GROUPS, ENDING, LONG = 384, 2, 6
 #: No word holds a blank, so this is never one.
 END_HASH = xxhash.xxh64_intdigest(b"\n")
 SLICE = 4 << 20
-FLUSH = 400_000
+#: Words that a task holds counts of, about.
+FLUSH = 800_000
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def group_of(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-ENDING:]) % GROUPS
+class _Endings(dict):
+    def __missing__(self, key):
+        self[key] = n = xxhash.xxh32_intdigest(key) % GROUPS
+        return n
+
+
+def groups_of(words) -> np.ndarray:
+    """The group of every word (as bytes)."""
+    base = _Endings()
+    ending = np.fromiter((base[w[-ENDING:]] for w in words), np.int64, len(words))
+    return (ending + (np.fromiter(map(len, words), np.int64, len(words)) > LONG) * (GROUPS // 2)) % GROUPS
 
 
 class Tokens:
@@ -55,7 +64,7 @@ class Tokens:
         self.sizes = np.array([len(x) + 1 for x in own[::2]], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)).view(np.int64)
-        self.groups = np.fromiter(map(group_of, number), np.int64, len(number))
+        self.groups = groups_of(number)
         self.doc = np.repeat(np.arange(len(docs)), self.sizes)
 
     def find(self, keys: np.ndarray, values: np.ndarray, missing: np.ndarray) -> np.ndarray:
@@ -119,30 +128,31 @@ def count_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h, g, c) of all tokens of the rows, ends among them."""
 
     def worker():
-        held: dict[int, int] = {}
-        group: dict[int, int] = {}
+        held: list[list[np.ndarray]] = []
+
+        def merge() -> None:
+            h, g, c = (np.concatenate(x) for x in zip(*held))
+            h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            held[:] = [[h, g[first], np.bincount(inverse, c, len(h)).astype(np.int64)]]
 
         def batch_of():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([group[h] for h in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["h", "g", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1].astype(np.int32)), pa.array(held[0][2])], ["h", "g", "c"])
             held.clear()
-            group.clear()
             return out
 
         def work(batch: pa.RecordBatch):
             t = Tokens(batch.column(1).to_pylist())
-            words = t.flat[t.flat >= 0]
-            get = held.get
-            hashes = t.hashes.tolist()
-            for h, c in zip(hashes, np.bincount(words, minlength=len(hashes)).tolist()):
-                held[h] = get(h, 0) + c
-            group.update(zip(hashes, t.groups.tolist()))
-            end = _signed(END_HASH)
-            held[end] = held.get(end, 0) + batch.num_rows
-            group[end] = GROUPS
-            return batch_of() if len(held) > FLUSH else None
+            c = np.bincount(t.flat[t.flat >= 0], minlength=len(t.hashes)).astype(np.int64)
+            held.append([np.append(t.hashes, _signed(END_HASH)), np.append(t.groups, GROUPS), np.append(c, batch.num_rows)])
+            if sum(len(x[0]) for x in held) > FLUSH:
+                merge()
+                if len(held[0][0]) > FLUSH // 2:
+                    return batch_of()
+            return None
 
         def finish():
             if held:
+                merge()
                 yield batch_of()
 
         work.finish = finish  # type: ignore[attr-defined]
@@ -176,15 +186,19 @@ def summarise(counts: DataFrame, common: int, density: float) -> Counts:
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(1)
-    return np.log(np.exp(s - top[:, None]).sum(1)) + top
+    """Log of the sum of every row's exponentials; ``s`` is overwritten."""
+    top = 0.0
+    if s.max() > 60 or s.min() < -60:  # else single precision holds them as they are
+        top = s.max(1)
+        s -= top[:, None]
+    return np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype)) + top
 
 
 class LogBilinear:
     """Vectors of entries as context (r) and within their group (e), of groups (u), weights of the two places (c). The last
     number of e and u is a bias; predicted vectors end in a one."""
 
-    def __init__(self, words: Vocabulary, size: int = 24, seed: int = 8):
+    def __init__(self, words: Vocabulary, size: int = 16, seed: int = 8):
         draw = np.random.default_rng(seed)
         self.words, self.size = words, size
         n = len(words.group)
@@ -223,7 +237,8 @@ class LogBilinear:
             for i in range(cuts[g], cuts[g + 1], rows):
                 at = order[i : min(i + rows, cuts[g + 1])]
                 s = q[inverse[at]] @ e
-                out[at] += s[np.arange(len(at)), entry[at] - first] - _log_sum(s)
+                out[at] += s[np.arange(len(at)), entry[at] - first]
+                out[at] -= _log_sum(s)
         return out
 
 
@@ -231,8 +246,8 @@ class Trainer:
     """Noise-contrastive estimation with AdaGrad. The noise groups of a batch are shared by its tokens; noise entries are
     drawn for each token from its group."""
 
-    def __init__(self, model: LogBilinear, batch: int = 4096, noise: int = 128, k: float = 16.0, within: int = 4, rate: float = 0.1, seed: int = 0):
-        self.m, self.batch, self.noise, self.k, self.within, self.rate = model, batch, noise, k, within, rate
+    def __init__(self, model: LogBilinear, batch: int = 4096, noise: int = 64, k: float = 16.0, within: int = 1, pool: int = 1024, rate: float = 0.1, seed: int = 0):
+        self.m, self.batch, self.noise, self.k, self.within, self.pool, self.rate = model, batch, noise, k, within, pool, rate
         self.draw = np.random.default_rng((8, seed))
         words = model.words
         self.log_kg = np.log(k * words.group_share).astype(np.float32)
@@ -244,6 +259,10 @@ class Trainer:
         self.tokens = 0
 
     def learn(self, one: np.ndarray, two: np.ndarray, entry: np.ndarray) -> None:
+        words, groups = self.m.words, np.arange(GROUPS + 1)[:, None]
+        # noise entries of every group, drawn anew for every slice
+        x = np.searchsorted(self.up_to, groups + self.draw.random((GROUPS + 1, self.pool)))
+        self.drawn = np.clip(x, words.start[groups], (words.start + words.size - 1)[groups])
         for i in range(0, len(entry), self.batch):
             self._step(one[i : i + self.batch], two[i : i + self.batch], entry[i : i + self.batch])
         self.tokens += len(entry)
@@ -265,8 +284,7 @@ class Trainer:
         at = np.flatnonzero(words.size[group] > 1)
         if len(at):
             entry, group, p = entry[at], group[at], q[at]
-            x = np.searchsorted(self.up_to, group[:, None] + self.draw.random((len(at), self.within)))
-            x = np.clip(x, words.start[group][:, None], (words.start + words.size - 1)[group][:, None])
+            x = self.drawn[group[:, None], self.draw.integers(0, self.drawn.shape[1], (len(at), self.within), np.int32)]
             own, other = m.e[entry], m.e[x]
             g_true = _up(np.einsum("ij,ij->i", p, own) - self.log_ke[entry])
             g_false = _up(np.einsum("ij,ikj->ik", p, other) - self.log_ke[x]) - 1
@@ -320,7 +338,7 @@ def _take(model: LogBilinear, i: np.ndarray, x: np.ndarray) -> None:
         model.c[:] = row[: 2 * size].reshape(2, size)
 
 
-def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, rounds: int = 2, size: int = 24) -> LogBilinear:
+def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, rounds: int = 2, size: int = 16) -> LogBilinear:
     """Each round takes its share of the training documents and learns from every token of them."""
     model = LogBilinear(counts.words, size)
     spark = df.sparkSession
@@ -369,7 +387,7 @@ def _copy(model: LogBilinear) -> LogBilinear:
     return out
 
 
-def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", density: float = 400.0, common: int = 100_000, rounds: int = 2) -> DataFrame:
+def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", density: float = 200.0, common: int = 100_000, rounds: int = 2) -> DataFrame:
     """Log10 probabilities of every whole text, an end among its tokens.
 
     Learns from the rows where ``held_out`` is false. Columns: id, held_out, n_tokens, n_known (tokens that training
