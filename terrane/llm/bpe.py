@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task treats each slice of its texts as one corpus: the distinct pre-tokens are laid out in one
-symbol array, an inverted index leads from a pair's rank to the positions where it stands, and the
-merges are applied in rank order, touching only the neighbours of what was merged. Texts are then
-put together from their pre-tokens' ids. The slices bound memory; nothing is shuffled.
+A task's texts are its corpus, read in slices. The distinct pre-tokens that a slice brings in are laid out in
+one symbol array; an inverted index leads from the rank of a merge, which all token pairs that make the same
+token share, to the positions where such pairs stand, and the merges are applied in rank order, touching only
+the neighbours of what was merged. The task keeps the ids of its pre-tokens, so each of them is merged once.
+Texts are put together from their pre-tokens' ids. What a task keeps is bounded; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 from terrane.llm.common import ids, map_texts, texts
 
 SHIFT = 20
+#: A task keeps the ids of so many pre-tokens, of so many bytes, before it starts anew.
+KEPT_WORDS, KEPT_BYTES = 1 << 19, 16 << 20
 
 
 class Merges:
@@ -184,14 +188,38 @@ class _Numbered(dict):
         return n
 
 
+class Corpus:
+    """The distinct pre-tokens of a task with their ids."""
+
+    def __init__(self, merges: Merges, pattern):
+        self.merges, self.find = merges, pattern.findall
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number = _Numbered()
+        self.tokens, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.starts, self.size = np.zeros(0, np.int64), 0
+
+    def encode(self, docs: list[str]) -> list[np.ndarray]:
+        """Ids of every text of a slice."""
+        known = len(self.number)
+        look = self.number.__getitem__
+        own = [np.fromiter(map(look, found := self.find(d)), np.int64, len(found)) if d else np.zeros(0, np.int64) for d in docs]
+        if len(self.number) > known:
+            new = [w.encode() for w in islice(self.number, known, None)]
+            tokens, counts = replay(self.merges, new)
+            self.tokens, self.counts = np.concatenate((self.tokens, tokens.astype(np.int32))), np.concatenate((self.counts, counts))
+            self.starts = np.cumsum(self.counts) - self.counts
+            self.size += sum(map(len, new))
+        out = [self.tokens[spread(self.starts[w], self.counts[w])].astype(np.int64) if len(w) else w for w in own]
+        if len(self.number) > KEPT_WORDS or self.size > KEPT_BYTES:
+            self._clear()
+        return out
+
+
 def encode_slice(merges: Merges, pattern, docs: list[str]) -> list[np.ndarray]:
-    """Ids of every text of a slice."""
-    number = _Numbered()
-    find, look = pattern.findall, number.__getitem__
-    own = [np.fromiter(map(look, found := find(d)), np.int64, len(found)) if d else np.zeros(0, np.int64) for d in docs]
-    tokens, counts = replay(merges, [w.encode() for w in number])
-    starts = np.cumsum(counts) - counts
-    return [tokens[spread(starts[w], counts[w])] if len(w) else w for w in own]
+    """Ids of every text of a slice alone."""
+    return Corpus(merges, pattern).encode(docs)
 
 
 def decode(merges: Merges, tokens: np.ndarray) -> bytes:
@@ -209,10 +237,11 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     kind = df.schema[id_col].dataType.simpleString()
 
     def worker():
-        merges, compiled = load_merges(ranks_path), regex.compile(pattern)
+        merges = load_merges(ranks_path)
+        corpus = Corpus(merges, regex.compile(pattern))
 
         def work(batch: pa.RecordBatch):
-            found = encode_slice(merges, compiled, texts(batch))
+            found = corpus.encode(texts(batch))
             decoded = [decode(merges, t) for t in found]
             columns = [ids(batch), pa.array([len(t) for t in found], pa.int64()), pa.array([hashlib.sha256(t.astype("<u4").tobytes()).hexdigest() for t in found], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -227,4 +256,4 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return map_texts(df, id_col, text_col, worker, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 
 
-__all__ = ["Merges", "byte_bpe", "decode", "encode_one", "encode_slice", "load_merges", "replay"]
+__all__ = ["Corpus", "Merges", "byte_bpe", "decode", "encode_one", "encode_slice", "load_merges", "replay"]

@@ -17,6 +17,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Bound of what ``parted`` broadcasts, in numbers.
+BUCKETS = 1 << 18
+
 #: A Python worker looks at this many bytes of text at once.
 SLICE_BYTES = 8 << 20
 #: Bound of one Arrow batch, so that very long texts do not pile up in a worker.
@@ -29,9 +32,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run, in which all
+    share the machine's folders, gets one of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="terrane-")
         shared_dir.own = found  # type: ignore[attr-defined]
     return found.rstrip("/")
@@ -72,6 +78,19 @@ def clear_workspace(spark: SparkSession) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bucket(*columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
+
+
+def parted(rows: DataFrame, row_key: list[Column], keys: DataFrame, key: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a partner among the keys, rows that have none), without a shuffle of the rows: of the
+    keys only the hash buckets that they fall into are broadcast, ``BUCKETS`` numbers at most."""
+    hit = F.broadcast(keys.select(bucket(*key).alias("_hit")).distinct())
+    marked = rows.withColumn("_bucket", bucket(*row_key))
+    on = F.col("_bucket") == F.col("_hit")
+    return marked.join(hit, on, "left_semi").drop("_bucket"), marked.join(hit, on, "left_anti").drop("_bucket")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

@@ -111,10 +111,10 @@ def covered(spans) -> int:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """The items in blocks of about so many bytes; one of them is on the driver at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """The items, repeated ones once, in blocks of about so many bytes; one of them is on the driver at a time."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = max(1, -(-2 * total // block_bytes))
+    n = max(1, -(-total // block_bytes))
     if n == 1:
         return [items]
     items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "benchmark")

@@ -8,13 +8,10 @@ one edge to each component of the shard that they lie in, never the pairs themse
 
 from __future__ import annotations
 
-import hashlib
-import math
-import pickle
+import io
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +21,8 @@ from terrane.llm.hnsw import Graph, within
 
 #: The graphs work in single precision; what comes this near to the threshold is verified in double.
 SLACK = 1e-4
+#: A block of queries is as large as so many shards; a graph is sent once to each block.
+BLOCK_SHARDS = 8
 
 
 class Shard:
@@ -35,6 +34,20 @@ class Shard:
         self.graph = Graph(self.unit, degree, beam)
         self.root = np.arange(len(ids))
 
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        names = self.ids.astype(str) if self.ids.dtype == object else self.ids
+        np.savez(out, ids=names, copies=self.copies.astype(np.int64), unit=self.unit, root=self.root, **self.graph.arrays())
+        return out.getvalue()
+
+    @staticmethod
+    def loads(data: bytes) -> Shard:
+        found = np.load(io.BytesIO(data), allow_pickle=False)
+        out = object.__new__(Shard)
+        out.ids, out.copies, out.unit, out.root = (found[k] for k in ("ids", "copies", "unit", "root"))
+        out.graph = Graph.of_arrays(out.unit, found)
+        return out
+
     def links(self, vectors: np.ndarray, threshold: float, target: float, own: bool = False) -> list[np.ndarray]:
         """Places of the shard's vectors whose cosine reaches the threshold, for every query; ``own``: of the shard's vectors."""
         unit = _unit(vectors)
@@ -73,21 +86,14 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
-def _keys(df: DataFrame, id_col: str, vector_col: str, label_col: str, threshold: float) -> DataFrame:
-    """id, label, key and vector; key is null where the vector or label does not take part."""
-    small_batches(df.sparkSession)
-    kind, label = df.schema[id_col].dataType.simpleString(), df.schema[label_col].dataType.simpleString()
+def _keys(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """id, label, key and vector; key (128 bits) is null where the vector or label does not take part."""
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-
-    def run(batches):
-        for batch in batches:
-            key = []
-            for v, lab in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
-                fine = lab is not None and v and None not in v and all(map(math.isfinite, v)) and any(v)
-                key.append(hashlib.md5(np.array(v, "<f8").tobytes() + repr(lab).encode()).digest() if fine else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.binary())], ["id", "label", "vector", "key"])
-
-    return rows.mapInArrow(run, f"id {kind}, label {label}, vector array<double>, key binary")
+    infinite = [F.lit(float(x)) for x in ("nan", "inf", "-inf")]
+    finite = F.forall("vector", lambda v: F.coalesce(~v.isin(infinite), F.lit(False)))
+    fine = F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda v: v != 0)
+    key = F.concat_ws(":", F.xxhash64("vector", "label").cast("string"), F.xxhash64(F.lit(7), "label", "vector").cast("string"))
+    return rows.withColumn("key", F.when(F.coalesce(fine, F.lit(False)), key))
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, shard_size: int = 8192, degree: int = 12, beam: int = 48, target: float = 0.99) -> DataFrame:
@@ -97,11 +103,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     null, empty, zero or hold null or non-finite components, and those with a null label, are linked with nothing;
     vectors of different lengths neither. A row without id counts nowhere and is kept, with a null component; rows
     of one id are one node of the components. Other columns are not read. Every link found is verified; links
-    are missed where a search misses them, of which audits against whole shards allow 1 - ``target``; blocks of
-    queries with too few links for an audit are held against whole shards.
+    are missed where a search misses them, of which audits against whole shards allow 1 - ``target``; of blocks of
+    queries with too few links for an audit all queries are audited.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = materialize(_keys(df, id_col, vector_col, label_col, threshold), "vectors")
+    small_batches(df.sparkSession)
+    rows = materialize(_keys(df, id_col, vector_col, label_col), "vectors")
     named = rows.where(F.col("id").isNotNull() & F.col("key").isNotNull())
     classes = named.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"), F.first(F.col("label").cast("string")).alias("label"))
     classes = classes.withColumn("label", F.concat_ws("/", F.size("vector").cast("string"), "label"))
@@ -121,23 +128,24 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         out["root"] = own.ids[own.root]
         out["index"] = None
         if int(pdf["shards"].iloc[0]) > 1:
-            out.loc[len(out)] = [pdf["label"].iloc[0], pdf["shard"].iloc[0], pdf["shards"].iloc[0], None, None, None, None, pickle.dumps(own, 5)]
+            out.loc[len(out)] = [pdf["label"].iloc[0], pdf["shard"].iloc[0], pdf["shards"].iloc[0], None, None, None, None, own.dumps()]
         return out.astype({"id": "object", "n": "Int64", "root": "object"})
 
-    schema = f"label string, shard int, shards int, key binary, id {kind}, n bigint, root {kind}, index binary"
+    schema = f"label string, shard int, shards int, key string, id {kind}, n bigint, root {kind}, index binary"
     built = materialize(dealt.groupBy("label", "shard").applyInPandas(build, schema), "built")
     counts = built.where(F.col("key").isNotNull()).select("key", "n")
     edges = built.where(F.col("key").isNotNull() & (F.col("id") != F.col("root"))).select(F.col("id").alias("a"), F.col("root").alias("b"))
     graphs = built.where(F.col("index").isNotNull()).select("label", "shard", "shards", "index")
-    # searches of the other shards, in blocks of as many queries as a shard has vectors
-    blocks = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    queries = dealt.where(F.col("shards") > 1).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("shards")).cast("int"))
+    # searches of the other shards, in blocks of as many queries as some shards have vectors
+    parts = F.ceil(F.col("shards") / BLOCK_SHARDS).cast("int")
+    blocks = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+    queries = dealt.where(F.col("shards") > 1).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), parts).cast("int"))
     queries = queries.withColumnRenamed("shard", "own").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where(F.col("shard") != F.col("own"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"key": [], "id": [], "n": [], "root": []})
-        shard: Shard = pickle.loads(right["index"].iloc[0])
+        shard = Shard.loads(right["index"].iloc[0])
         n, a, b, k = [], [], [], []
         for key, one, near in zip(left["key"], left["id"], shard.links(_stack(left["vector"]), threshold, target)):
             if not len(near):
@@ -149,7 +157,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             n += [int(shard.copies[near].sum())] + [0] * (len(roots) - 1)
         return pd.DataFrame({"key": k, "id": a, "n": n, "root": b})
 
-    found = queries.groupBy("label", "shard", "block").cogroup(blocks.groupBy("label", "shard", "block")).applyInPandas(search, f"key binary, id {kind}, n bigint, root {kind}")
+    found = queries.groupBy("label", "shard", "block").cogroup(blocks.groupBy("label", "shard", "block")).applyInPandas(search, f"key string, id {kind}, n bigint, root {kind}")
     found = materialize(found, "found")
     counts = counts.unionByName(found.select("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
     component = connected_components(edges.unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))

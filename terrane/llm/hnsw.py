@@ -178,14 +178,35 @@ class Graph:
         return self._beam(self.layers[0], q, entry, min(beam, len(self.x)))
 
 
+    # ---- as arrays without the vectors, so that a graph can be stored
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        out = {"level": self.level, "order": self.order, "shape": np.array([self.degree, self.beam, len(self.layers)])}
+        for i, layer in enumerate(self.layers):
+            out |= {f"links{i}": layer.links, f"nodes{i}": np.array(layer.nodes, np.int64)}
+        return out
+
+    @staticmethod
+    def of_arrays(x: np.ndarray, found) -> Graph:
+        out = object.__new__(Graph)
+        out.x, out.level, out.order = np.ascontiguousarray(x, np.float32), found["level"], found["order"]
+        out.degree, out.beam, n = found["shape"].tolist()
+        out.layers = []
+        for i in range(n):
+            layer = object.__new__(Layer)
+            layer.links, layer.nodes = found[f"links{i}"], found[f"nodes{i}"].tolist()
+            out.layers.append(layer)
+        return out
+
+
 def within(graph: Graph, q: np.ndarray, threshold: float, beam: int = 16, target: float = 0.99, audit: int = 64, chunk: int = 1024, evidence: int = 32, own: bool = False) -> list[np.ndarray]:
-    """Vectors at ``threshold`` or more for every query. A beam that is full of such vectors is widened, up to the
-    whole graph; all beams are widened until an audit of some queries against all vectors passes.
+    """Vectors at ``threshold`` or more for every query, found by searching the graph. All beams are widened until an
+    audit of some queries against all vectors passes; what the audit found that the search missed is added.
 
     Queries are audited, ``audit`` at first and twice as many each time, until ``evidence`` of them have links, but
-    fewer than the beam holds; where no so many are, all queries have been held against all vectors and that is the
-    answer. The mean recall of a query has to reach ``target``, for those queries and for those with more links.
-    ``own``: the queries are the graph's vectors, and that each finds itself counts for nothing."""
+    fewer than the beam holds, or all are audited. The mean recall of a query has to reach ``target``, for those
+    queries and for those with more links. ``own``: the queries are the graph's vectors, and that each finds
+    itself counts for nothing."""
     n, few = len(graph.x), beam
     order = np.random.default_rng(len(q)).permutation(len(q))
     truth: dict[int, np.ndarray] = {}
@@ -198,38 +219,54 @@ def within(graph: Graph, q: np.ndarray, threshold: float, beam: int = 16, target
                 truth[i] = np.flatnonzero(s >= threshold)
                 if k := len(truth[i]) - int(own and s[i] >= threshold):
                     links[i] = k
-    if len(truth) == len(q):
-        return [truth[i] for i in range(len(q))]
     groups = [g for g in ([i for i, k in links.items() if k < few], [i for i, k in links.items() if k >= few]) if g]
     while beam < n:
         found = [_within(graph, q[g], threshold, beam, chunk) for g in groups]
         if all(np.mean([np.isin(truth[i][truth[i] != i] if own else truth[i], f).mean() for i, f in zip(g, fs)]) >= target for g, fs in zip(groups, found)):
             break
         beam *= 2
-    out = _within(graph, q, threshold, beam, chunk)
+    out = _within(graph, q, threshold, min(beam, n), chunk)
     for i, t in truth.items():
-        out[i] = t
+        out[i] = np.union1d(out[i], t)
     return out
 
 
 def _within(graph: Graph, q: np.ndarray, threshold: float, beam: int, chunk: int) -> list[np.ndarray]:
-    n = len(graph.x)
+    """What a search with this beam finds at the threshold or above. Where the whole beam is, the search goes on from
+    there over links between such vectors, so that it finds groups of any size."""
     out: list[np.ndarray] = []
     for lo in range(0, len(q), chunk):
-        part = q[lo : lo + chunk]
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(part)
-        rest, wide = np.arange(len(part)), beam
-        while len(rest):
-            if 8 * wide >= n:  # the beam takes in the whole graph
-                for j in range(0, len(rest), 256):
-                    sims = part[rest[j : j + 256]].astype(np.float32) @ graph.x.T
-                    for i, s in zip(rest[j : j + 256], sims):
-                        found[i] = np.flatnonzero(s >= threshold)
-                break
-            ids, sims = graph.search(part[rest], wide)
-            near = (sims >= threshold) & (ids >= 0)
-            for i, own, hit in zip(rest, ids, near):
-                found[i] = own[hit]
-            rest, wide = rest[near.all(1)], 4 * wide
+        part = np.ascontiguousarray(q[lo : lo + chunk], np.float32)
+        ids, sims = graph.search(part, beam)
+        near = (sims >= threshold) & (ids >= 0)
+        found = [own[hit] for own, hit in zip(ids, near)]
+        full = np.flatnonzero(near.all(1))
+        for at in range(0, len(full), 256):
+            rows = full[at : at + 256]
+            for r, more in zip(rows, _spread(graph, part[rows], [found[r] for r in rows], threshold)):
+                found[r] = more
         out += found
     return out
+
+
+def _spread(graph: Graph, q: np.ndarray, found: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """From what was found, all that can be reached over links between vectors at the threshold or above."""
+    links = graph.layers[0].links
+    seen = np.zeros((len(q), len(graph.x)), bool)
+    hits = np.zeros_like(seen)
+    row = np.repeat(np.arange(len(q)), [len(f) for f in found])
+    node = np.concatenate(found)
+    seen[row, node] = hits[row, node] = True
+    while len(node):
+        next_row, next_node = np.repeat(row, links.shape[1]), links[node].ravel()
+        fresh = next_node >= 0
+        fresh[fresh] = ~seen[next_row[fresh], next_node[fresh]]
+        key = np.unique(next_row[fresh].astype(np.int64) * len(graph.x) + next_node[fresh])
+        row, node = key // len(graph.x), key % len(graph.x)
+        seen[row, node] = True
+        sims = np.empty(len(key), np.float32)
+        for i in range(0, len(key), 65536):
+            sims[i : i + 65536] = np.einsum("id,id->i", graph.x[node[i : i + 65536]], q[row[i : i + 65536]])
+        row, node = row[sims >= threshold], node[sims >= threshold]
+        hits[row, node] = True
+    return [np.flatnonzero(h) for h in hits]

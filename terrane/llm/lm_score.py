@@ -25,7 +25,7 @@ from terrane.llm.bpe import _Numbered
 from terrane.llm.common import ids, map_texts, materialize
 
 #: Groups of words by their last bytes and by whether they are long; the end of a text is a group of its own behind them.
-GROUPS, ENDING, LONG = 384, 2, 6
+GROUPS, ENDING, LONG = 256, 2, 6
 #: No word holds a blank, so this is never one.
 END_HASH = xxhash.xxh64_intdigest(b"\n")
 SLICE = 4 << 20

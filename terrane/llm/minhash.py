@@ -26,7 +26,7 @@ from terrane.llm.components import connected_components
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 2 << 20
 #: Sets of two blocks are in a task at once.
-BLOCK = 2048
+BLOCK = 512
 
 
 def shingle_sets(docs: list[str], size: int) -> list[np.ndarray]:
@@ -168,30 +168,29 @@ class NearDuplicates:
         return full.where(100 * common >= self.percent * (F.size("x_a") + F.size("x_b") - common)).select("a", "b")
 
     def _crossing(self, mixed: DataFrame) -> DataFrame:
-        """Links (a, b) between the components that meet in the groups of (major, id, component). A group is dealt into
-        blocks, and every two blocks go to a task, which compares all sets of different components and returns
-        a link for each document and component at most."""
+        """Links (a, b) between the components that meet in the groups of (major, id, component). Only what is not of a
+        group's largest component, its minor documents, is compared with all: blocks of minor documents meet blocks of
+        the group, and a task returns a link for each minor document and component at most."""
         percent = self.percent
-        ids_ = mixed.select("id").distinct()
-        texts = self.df.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).join(ids_, "id", "left_semi")
+        minor = F.col("component") != F.col("major")
+        size = mixed.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count(F.when(minor, 1)) / BLOCK).cast("int").alias("minors"))
+        size = materialize(size, "groups")
+        dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        rows = mixed.join(size, "major").where(F.col("minors") > 0)
+        asking = rows.where(minor).select("major", "id", "component", F.lit(True).alias("asks"), dealt("minors").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        asked = rows.select("major", "id", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), dealt("blocks").alias("j"))
+        texts = self.df.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("text")).join(mixed.select("id").distinct(), "id", "left_semi")
         sets = materialize(_sets(texts, "id", "text", self.shingle), "sets")
-        size = materialize(mixed.groupBy("major").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "groups")
-        rows = mixed.join(size, "major").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("major", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "id")
         kind = mixed.schema["id"].dataType.simpleString()
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.drop_duplicates(["id"]).reset_index(drop=True)
-            minor = (pdf["component"] != pdf["major"]).to_numpy()
-            a, b = [], []
-            if minor.any():
-                found = cross_links(pdf["shingles"].tolist(), pdf["component"].to_numpy(), minor, percent)
-                names = pdf["id"].to_numpy()
-                a, b = names[found[:, 0]], names[found[:, 1]]
-            return pd.DataFrame({"a": a, "b": b})
-
-        return rows.groupBy("major", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+            asks = pdf.groupby("id")["asks"].transform("any")
+            pdf = pdf.assign(asks=asks).drop_duplicates(["id"]).reset_index(drop=True)
+            found = cross_links(pdf["shingles"].tolist(), pdf["component"].to_numpy(), pdf["asks"].to_numpy(bool), percent)
+            names = pdf["id"].to_numpy()
+            return pd.DataFrame({"a": names[found[:, 0]], "b": names[found[:, 1]]})
+
+        return asking.unionByName(asked).join(sets, "id").groupBy("major", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
     def groups(self) -> DataFrame:
         profile = materialize(_profile(self.df, self.id_col, self.text_col, self.shingle, self.bands * self.rows), "profile")

@@ -34,7 +34,7 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.pii import digests, find_personal_data
 
-    return digests(find_personal_data(_read(spark, sf_dir, "documents")))
+    return digests(find_personal_data(_read(spark, sf_dir, "documents"), clean=True))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def test_lines_against_brute_force(spark):
     pool = [f"  Line number {i} of the SHARED pool é " for i in range(12)] + ["short", "", "x" * 20, "x" * 19, "Ünique " * 4]
     docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(0, 9)))) for i in range(60)] + [(60, None), (61, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h1", F.lit(1))
-    for batches, fanout in ((1, 2), (5, 2), (4, 3)):
-        got = {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["text"] or "") for x in dedup_lines(df, batches=batches, fanout=fanout).collect()}
+    for batch_docs, fanout in ((1000, 2), (9, 2), (15, 3), (4, 4)):
+        got = {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["text"] or "") for x in dedup_lines(df, batch_docs=batch_docs, fanout=fanout).collect()}
         assert got == lines_brute(docs)
     assert dedup_lines(df).columns == ["doc_id", "text", "h1", "n_lines", "n_dropped"]
 
@@ -190,6 +190,20 @@ def test_disclosing_terms(spark):
     assert [s["kind"] for s in rows[300]["spans"]] == ["term"] and rows[300]["clean"] == "Only [TERM] is named here"
     assert "[EMAIL]" in rows[0]["clean"] and "Zorblax" not in rows[0]["clean"] and rows[0]["clean"].startswith("Filler 0 and words0 then")
     assert rows[10]["spans"] == [] and rows[10]["clean"] == "plain and the words of day then wrote about 0"
+    whole = {r["doc_id"]: r for r in find_personal_data(df, clean=True).collect()}
+    assert len(whole) == len(docs) and all(whole[i]["spans"] == rows[i]["spans"] and (whole[i]["text"] or "") == rows[i]["clean"] for i in rows)
+    assert whole[301]["text"] is None and "clean_sha256" in digests(find_personal_data(df, clean=True)).columns
+
+
+def test_many_terms_and_copies(spark, monkeypatch):
+    """With patterns too large to be sent, with short terms, and with repeated rows the spans are the same."""
+    from terrane.llm import pii
+
+    docs = [(i % 40, f"李明 wrote zed{i % 8}@site{i % 8}.org again, number {i % 40} of all") for i in range(60)] + [(100 + i, f"nothing here {i}") for i in range(300)] + [(None, "李明 alone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(map(str, digests(find_personal_data(df, clean=True)).collect()))
+    monkeypatch.setattr(pii, "SENT_BYTES", 0)
+    assert sorted(map(str, digests(find_personal_data(df, clean=True)).collect())) == one and len(one) == len(docs)
 
 
 def test_personal_data_odd(odd_docs, no_docs):
@@ -399,7 +413,7 @@ def test_vocabulary_grows_with_the_corpus(spark):
 
     sizes = []
     for times in (1, 8):  # as many tokens of as many words each
-        counts = spark.range(200_000).selectExpr("id AS h", "cast(id % 384 AS int) AS g", f"cast({times} * 400000 / (id + 10) AS bigint) AS c").where("c > 0")
+        counts = spark.range(200_000).selectExpr("id AS h", "cast(id % 256 AS int) AS g", f"cast({times} * 400000 / (id + 10) AS bigint) AS c").where("c > 0")
         found = summarise(counts, 1000, 40.0)
         n = found.n ** (2 / 3) / 40
         assert len(found.words.keys) == counts.where(f"c >= greatest(3, {n})").count() <= 40 * found.n ** (1 / 3)
