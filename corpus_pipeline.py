@@ -1,6 +1,10 @@
 """A training-data pipeline over ``documents``: every stage works on what the one before it kept.
 
-Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one token ids.
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one token ids; other columns
+of ``docs`` are left behind, whatever their names. Rows are judged by doc_id and text; any other column may be null.
+Rows without text go in the first stage; rows without doc_id are documents of their own. Rows of one doc_id with
+different texts are kept apart; rows of equal doc_id and text are copies, of which the near-copy stage keeps one.
+Without rows every stage returns none.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm.bpe import byte_bpe
+from terrane.llm.common import materialize, parted
 from terrane.llm.decontaminate import find_contamination
 from terrane.llm.langid import identified, train
 from terrane.llm.line_dedup import dedup_lines
@@ -18,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or unlike every language go."""
+    """Documents without text or letters, or unlike every language, go."""
     return identified(docs.select(COLUMNS), train(docs))
 
 
@@ -30,9 +35,15 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of every group of near copies stays, the one of the smallest doc_id; of rows that repeat it one."""
+    found = materialize(near_duplicates(docs), "copies")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    twice = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
+    left = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    # only rows whose doc_id may repeat are shuffled by their text
+    some, single = parted(left, [F.col("doc_id")], twice, [F.col("_twice")])
+    named = some.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(named).unionByName(some.where(F.col("doc_id").isNull())).select(COLUMNS)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +74,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each one's rows are written to the shared folder, where the next one reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
