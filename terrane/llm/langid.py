@@ -121,14 +121,16 @@ def _fit(languages: list[str], table: dict[str, np.ndarray], discount: float) ->
     return Model(languages, p, weight, 1 / 256)
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_chars: int = 4_000_000, calibration_docs: int = 1_000, discount: float = 0.75) -> Model:
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_chars: int = 4_000_000, calibration_docs: int = 1_000, discount: float = 0.75, total_chars: int = 64_000_000) -> Model:
     """Fit on a bounded sample of the rows with text and language: whole documents, dealt by the hash of their id
-    to come to about ``sample_chars`` characters for each language, and as many as ``calibration_docs`` others."""
+    to come to about ``sample_chars`` characters for each language, and as many as ``calibration_docs`` others. With
+    many languages each has its share of ``total_chars``, which bounds the model."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sums = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("docs")).collect()  # a row for each language
     languages = sorted(r["lang"] for r in sums)
     if not languages:
         return Model([], [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * ORDER, [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * ORDER, 1 / 256)
+    sample_chars = min(sample_chars, total_chars // len(languages))
     dealt = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
     share, rest = F.lit(0.0), F.lit(0.0)
     for r in sums:
@@ -254,7 +256,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, whose text is not rejected."""
+    """The rows of ``df``, with all their columns, whose text is not rejected: texts that are null or have no letter go,
+    and those less likely in their best language than the cutoff; all go if no language was learned. Every row is
+    judged by its own text, so repeated rows stay or go together."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -62,3 +62,24 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_and_no_rows(spark, odd_docs, no_docs, name):
+    """Nulls in any column, repeated rows and columns of clashing names; no rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = stage(spark, odd_docs, SF)
+    if name != "byte_bpe":
+        assert found.columns == corpus_pipeline.COLUMNS
+    rows = [r["doc_id"] for r in found.collect()]
+    assert {7, None} <= set(rows)
+    assert rows.count(4) == {"minhash_dedup": 1, "line_dedup": 0}.get(name, 2)  # its line is in document 5 too
+    assert stage(spark, no_docs, SF).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, None), (1, text, "x"), (1, "another text of one id", None), (2, text, "y"), (None, text, "z"), (None, text, "z"), (3, None, None), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "lang AS source", "cast(1 AS bigint) AS n_chars")
+    kept = corpus_pipeline.no_near_copies(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept) == [(0, text), (0, text), (1, "another text of one id"), (1, text), (3, "")]

@@ -304,6 +304,65 @@ def test_language_odd(spark, odd_docs, no_docs):
     assert none.languages == [] and {r["lang_pred"] for r in identify(odd_docs, none).collect()} == {UNKNOWN}
 
 
+def test_texts_unlike_every_language_are_rejected(spark):
+    r = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train(docs)
+    strange = [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxzqjx") for _ in range(r.randrange(2, 9))) for _ in range(60)), "Все люди рождаются свободными и равными в своем достоинстве", "人人生而自由在尊严和权利上一律平等", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności"]
+    rows = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert [x["rejected"] for x in identify(rows, model).collect()] == [True] * len(strange)
+    assert identified(rows, model).count() == 0 and identified(docs, model).count() >= docs.count() - 3
+
+
+def kneser_ney(train_docs, discount=0.75, order=4, floor=1 / 256):
+    """Interpolated Kneser-Ney over dictionaries: language -> (character, context) -> probability."""
+    from collections import defaultdict
+    from functools import partial
+
+    out = {}
+    for lang in {x for x, _ in train_docs}:
+        counts = [defaultdict(lambda: defaultdict(int)) for _ in range(order)]
+        before = [defaultdict(set) for _ in range(order)]
+        for own, text in train_docs:
+            for w in re.findall(r"[^\W\d_]+", text.lower()) if own == lang else ():
+                line = " " * (order - 1) + w + " "
+                for i in range(order - 1, len(line)):
+                    counts[order - 1][line[i - order + 1 : i]][line[i]] += 1
+                    for k in range(order - 1):
+                        before[k][(line[i - k : i], line[i])].add(line[i - k - 1 : i])
+        for k in range(order - 1):
+            for (context, c), seen in before[k].items():
+                counts[k][context][c] = len(seen)
+
+        def p(c, context, counts):
+            if context is None:
+                return floor
+            own = counts[len(context)].get(context)
+            lower = p(c, context[1:] if context else None, counts)
+            if not own:
+                return lower
+            total = sum(own.values())
+            return max(own.get(c, 0) - discount, 0) / total + discount * len(own) / total * lower
+
+        out[lang] = partial(p, counts=counts)
+    return out
+
+
+def test_language_model_against_plain_kneser_ney(spark):
+    from math import log
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text", "lang").persist()
+    model = train(docs, sample_chars=10**9, calibration_docs=1)
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    plain = kneser_ney([(r["lang"], r["text"]) for r in docs.where(dealt < 0.9).collect() if r["text"]])
+    for text in ("the words of a text", "Nicht aulich für sch erüver", "zzz qxqx", "ñ"):
+        own = model.entropies([text])[0]
+        for lang, p in plain.items():
+            lines = ["   " + w + " " for w in re.findall(r"[^\W\d_]+", text.lower())]
+            costs = [-log(p(x[i], x[i - 3 : i])) for x in lines for i in range(3, len(x))]
+            assert own[model.languages.index(lang)] == pytest.approx(sum(costs) / len(costs), rel=1e-9)
+
+
 # ---- language model
 
 
