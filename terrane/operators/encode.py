@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from terrane.functions.rules import RULE, interval, values
 from terrane.sources.ingest import CONTINUOUS, DISCRETE, Ingested, number
 
+#: An indicator's id is its variable's number times this, plus its place among the variable's indicators.
+IND = 1 << 32
 #: Up to so many distinct values of a variable its bins are found in one task, beyond by distributed passes.
 ONE_TASK = 200_000
 MAX_ROUNDS = 300
@@ -135,7 +137,7 @@ class Indicators:
 
 
 def _ind(var_id, ord_):
-    return var_id.cast("long") * 100_000 + ord_.cast("long")
+    return var_id.cast("long") * IND + ord_.cast("long")
 
 
 def discretize(numbers: DataFrame, names: DataFrame, edges: dict[int, list[float]]) -> Indicators:

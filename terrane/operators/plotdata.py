@@ -89,3 +89,33 @@ def graph_segments(edges: DataFrame, samples: DataFrame) -> DataFrame:
     a = samples.select(F.col("sample_id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     b = samples.select(F.col("sample_id").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     return one.join(a, "src").join(b, "dst").select("src", "dst", "x0", "y0", "x1", "y1")
+
+
+def subregions(annotations: list, palette: list[str]) -> tuple[list[tuple[int, int, str]], list]:
+    """(place of the annotation, place among its parts, colour) of the annotations that each was made from, coloured
+    with the palette in turn, and these annotations."""
+    rows, parts = [], []
+    for k, a in enumerate(annotations):
+        for i, leaf in enumerate(a.leaves()):
+            rows.append((k, i, palette[i % len(palette)]))
+            parts.append(leaf)
+    return rows, parts
+
+
+def hue_color(hue: Column, step: Column, steps: int, min_saturation: float = 0.0) -> Column:
+    """Colour (r, g, b from 0 to 1) of full value: one of ``steps`` even saturations from the least one to 1."""
+    saturation = min_saturation + (1 - min_saturation) * step / max(1, steps - 1)
+
+    def part(n: int) -> Column:
+        k = F.pmod(n + hue * 6, F.lit(6.0))
+        return 1 - saturation * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+    return F.struct(part(5).alias("r"), part(3).alias("g"), part(1).alias("b"))
+
+
+def hue_of(color: Column) -> Column:
+    """Hue (0 up to 1) of a colour (r, g, b); 0 for a grey."""
+    r, g, b = color["r"], color["g"], color["b"]
+    top, span = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+    sixth = F.when(top == r, F.pmod((g - b) / span, F.lit(6.0))).when(top == g, (b - r) / span + 2).otherwise((r - g) / span + 4)
+    return F.when(span > 0, sixth / 6).otherwise(0.0)

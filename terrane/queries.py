@@ -88,7 +88,7 @@ def filter_constant(spark, sf_dir):
 def discretize_edges(spark, sf_dir):
     data = ingest(_parts(spark, sf_dir).select("sample_id", "p_size"), "sample_id")
     found = encode.discretize(data.numbers, data.variables, {0: [10.5, 20.5, 30.5, 40.5]})
-    return found.membership.groupBy((F.col("ind_id") % 100_000).cast("int").alias("ord")).agg(F.count(F.lit(1)).alias("n"))
+    return found.membership.groupBy((F.col("ind_id") % encode.IND).cast("int").alias("ord")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -112,7 +112,7 @@ SELECT (v >= (c1+c2)/2)::INT + (v >= (c2+c3)/2)::INT + (v >= (c3+c4)/2)::INT + (
 def discretize_kmeans(spark, sf_dir):
     data = ingest(_parts(spark, sf_dir).select("sample_id", "p_size"), "sample_id")
     found = encode.discretize(data.numbers, data.variables, encode.bin_edges(data.numbers, 5))
-    return found.membership.groupBy((F.col("ind_id") % 100_000).cast("int").alias("ord")).agg(F.count(F.lit(1)).alias("n"))
+    return found.membership.groupBy((F.col("ind_id") % encode.IND).cast("int").alias("ord")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT 'eq' AS kind, '3.0' AS val, count(*)::BIGINT AS n FROM part")
@@ -144,8 +144,8 @@ def expand_indicators(spark, sf_dir):
 
 #: Fixed pairs of rules: intervals that touch, overlap, contain and part; values alone and in sets.
 _RULES = [
-    ("i", 0, 5, None), ("i", 5, 10, None), ("i", 10, 15, None), ("i", 0, 6, None), ("i", 4, 10, None), ("i", 9, 15, None), ("i", 1, 4, None), ("i", "-inf", 6, None), ("i", 9, "inf", None), ("i", 7, 8, None), ("i", -50, "inf", None),
-    ("v", None, None, "2"), ("v", None, None, "3"), ("v", None, None, "1,2"), ("v", None, None, "4,5"), ("v", None, None, "1,2,3"), ("v", None, None, "2,3,4"), ("v", None, None, "7,8,9"),
+    ("i", 2, 7.5, None), ("i", 7.5, 11, None), ("i", 11, 18, None), ("i", 2, 8, None), ("i", 6.25, 12, None), ("i", 10, 19, None), ("i", 3, 5, None), ("i", "-inf", 9, None), ("i", 14, "inf", None), ("i", 4.5, 5.25, None), ("i", -20, "inf", None), ("i", "-inf", 21, None),
+    ("v", None, None, "4"), ("v", None, None, "9"), ("v", None, None, "1,6"), ("v", None, None, "3,8"), ("v", None, None, "1,6,7"), ("v", None, None, "6,7,9"), ("v", None, None, "6,7"), ("v", None, None, "0,2,5"),
 ]
 
 def _rule_values() -> str:
@@ -200,47 +200,6 @@ def rule_text(spark, sf_dir):
     return _rule_rows(spark).select("id", rules.text(F.col("rule")).alias("text"))
 
 
-@query("""
-WITH b AS (SELECT DISTINCT floor(l_quantity / 10)::INT AS b FROM lineitem WHERE floor(l_quantity / 10)::INT <> 2),
-g AS (SELECT b, b - row_number() OVER (ORDER BY b) AS run FROM b)
-SELECT (min(b) * 10)::DOUBLE AS lower, (max(b) * 10 + 10)::DOUBLE AS upper, count(*)::BIGINT AS n FROM g GROUP BY run""")
-def merge_indicators(spark, sf_dir):
-    """Gaps and islands: an interval begins a new run where it does not meet what came before it."""
-    from pyspark.sql import Window as W
-
-    b = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_quantity") / 10).cast("int").alias("b")).distinct().where("b <> 2")
-    rule = b.select((F.col("b") * 10).cast("double").alias("lower"), (F.col("b") * 10 + 10).cast("double").alias("upper"))
-    order = W.orderBy("lower", "upper")  # a row for each distinct rule of a variable
-    reach = F.max("upper").over(order.rowsBetween(W.unboundedPreceding, -1))
-    starts = rule.withColumn("new", F.when(reach.isNull() | ((F.col("lower") > reach) & ~rules.is_close(F.col("lower"), reach)), 1).otherwise(0))
-    runs = starts.withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("run").agg(F.min("lower").alias("lower"), F.max("upper").alias("upper"), F.count(F.lit(1)).alias("n")).drop("run")
-
-
-def _line_members(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("sample_id"), "l_quantity", "l_discount")
-    conditions = [("q10", F.col("l_quantity") < 10), ("q20", F.col("l_quantity").between(10, 19)), ("d5", F.col("l_discount") < 0.05)]
-    return li.select("sample_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions]))).alias("ind"))
-
-
-@query("SELECT l_orderkey || ':' || l_linenumber AS sample_id FROM lineitem GROUP BY 1 HAVING bool_or(l_quantity < 10) AND bool_or(l_discount < 0.05)")
-def group_and(spark, sf_dir):
-    """Samples that all indicators hold: relational division."""
-    rows = _line_members(spark, sf_dir).where(F.col("ind").isin("q10", "d5"))
-    return rows.groupBy("sample_id").agg(F.count_distinct("ind").alias("n")).where("n = 2").select("sample_id")
-
-
-@query("SELECT DISTINCT l_orderkey || ':' || l_linenumber AS sample_id FROM lineitem WHERE l_quantity < 10 OR l_quantity BETWEEN 10 AND 19")
-def group_or(spark, sf_dir):
-    return _line_members(spark, sf_dir).where(F.col("ind").isin("q10", "q20")).select("sample_id").distinct()
-
-
-@query("SELECT id::INT AS id, unnest([1, 2, 3, 4, id]) AS value FROM range(3) t(id)")
-def flatten_lists(spark, sf_dir):
-    nested = spark.range(3).select(F.col("id").cast("int").alias("id"), F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4)), F.array(F.col("id").cast("int"))).alias("xs"))
-    return nested.select("id", F.explode(F.flatten("xs")).alias("value"))
-
-
 # ---- embedding and regions
 
 _E = """e AS (SELECT vec_id AS sample_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label::VARCHAR AS label FROM embeddings)"""
@@ -251,7 +210,7 @@ _GRID = _SCALE + """,
 r AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, (SELECT scale FROM s) AS h FROM e),
 q AS (SELECT *, greatest(0.05::DOUBLE * (bx - ax), 3 * h) AS ox, greatest(0.05::DOUBLE * (by_ - ay), 3 * h) AS oy FROM r),
 g AS (SELECT ax - ox AS x0, ay - oy AS y0, (bx - ax + 2 * ox) / 99 AS dx, (by_ - ay + 2 * oy) / 99 AS dy, h FROM q)"""
-_BIN = lambda v, c: f"SELECT sample_id, {v * 100000}::BIGINT + " + " + ".join(f"({c} >= {x}::DOUBLE)::INT" for x in EDGES[v]) + " AS ind_id FROM e"
+_BIN = lambda v, c: f"SELECT sample_id, {v * encode.IND}::BIGINT + " + " + ".join(f"({c} >= {x}::DOUBLE)::INT" for x in EDGES[v]) + " AS ind_id FROM e"
 _MEMBERS = f"m AS ({_BIN(0, 'x')} UNION ALL {_BIN(1, 'y')})"
 _BINNED = _GRID + f""",
 {_MEMBERS},
@@ -259,23 +218,23 @@ pl AS (SELECT sample_id, least(floor((x - x0) / dx), 98)::INT AS gx, least(floor
 pc AS (SELECT sample_id, gx, gy, u - gx AS fx, v - gy AS fy FROM pl),
 c AS (SELECT ind_id, gx, gy, (1 - fx) * (1 - fy) AS w FROM pc JOIN m USING (sample_id) UNION ALL SELECT ind_id, gx + 1, gy, fx * (1 - fy) FROM pc JOIN m USING (sample_id)
  UNION ALL SELECT ind_id, gx, gy + 1, (1 - fx) * fy FROM pc JOIN m USING (sample_id) UNION ALL SELECT ind_id, gx + 1, gy + 1, fx * fy FROM pc JOIN m USING (sample_id)),
-w AS (SELECT ind_id, gx, gy, sum(w) AS w FROM c GROUP BY ALL HAVING sum(w) > 0)"""
+w AS MATERIALIZED (SELECT ind_id, gx, gy, sum(w) AS w FROM c GROUP BY ALL HAVING sum(w) > 0)"""
 _SMOOTH = _BINNED + """,
 t AS (SELECT i::INT AS i FROM range(100) t(i)),
 sx AS (SELECT ind_id, i AS gx, gy, sum(w * exp(-0.5::DOUBLE * ((i - gx) * dx / h) * ((i - gx) * dx / h))) AS w FROM w, t, g GROUP BY ALL),
-z AS (SELECT ind_id, gx, i AS gy, sum(w * exp(-0.5::DOUBLE * ((i - gy) * dy / h) * ((i - gy) * dy / h))) AS z FROM sx, t, g GROUP BY ALL),
-zm AS (SELECT ind_id, gx, gy, z, z / sum(z) OVER (PARTITION BY ind_id) AS z_sum, z / max(z) OVER (PARTITION BY ind_id) AS z_max FROM z)"""
+z AS MATERIALIZED (SELECT ind_id, gx, i AS gy, sum(w * exp(-0.5::DOUBLE * ((i - gy) * dy / h) * ((i - gy) * dy / h))) AS z FROM sx, t, g GROUP BY ALL),
+zm AS MATERIALIZED (SELECT ind_id, gx, gy, z, z / sum(z) OVER (PARTITION BY ind_id) AS z_sum, z / max(z) OVER (PARTITION BY ind_id) AS z_max FROM z)"""
 _INSIDE = _SMOOTH + """,
-cl AS (SELECT a.ind_id, a.gx, a.gy, a.z_max AS z00, b.z_max AS z10, c2.z_max AS z01, d.z_max AS z11 FROM zm a JOIN zm b ON a.ind_id = b.ind_id AND b.gx = a.gx + 1 AND b.gy = a.gy
+cl AS MATERIALIZED (SELECT a.ind_id, a.gx, a.gy, a.z_max AS z00, b.z_max AS z10, c2.z_max AS z01, d.z_max AS z11 FROM zm a JOIN zm b ON a.ind_id = b.ind_id AND b.gx = a.gx + 1 AND b.gy = a.gy
  JOIN zm c2 ON a.ind_id = c2.ind_id AND c2.gx = a.gx AND c2.gy = a.gy + 1 JOIN zm d ON a.ind_id = d.ind_id AND d.gx = a.gx + 1 AND d.gy = a.gy + 1),
-k AS (SELECT ind_id, sample_id, fx, fy, z00, z10, z01, z11, (z00 > 0.25)::INT + (z10 > 0.25)::INT + (z01 > 0.25)::INT + (z11 > 0.25)::INT AS n,
+k AS MATERIALIZED (SELECT ind_id, sample_id, fx, fy, z00, z10, z01, z11, (z00 > 0.25)::INT + (z10 > 0.25)::INT + (z01 > 0.25)::INT + (z11 > 0.25)::INT AS n,
  z00 > 0.25 AS a, z10 > 0.25 AS b, z01 > 0.25 AS c, z11 > 0.25 AS d,
  fx / ((z00 - 0.25::DOUBLE) / (z00 - z10)) + fy / ((z00 - 0.25::DOUBLE) / (z00 - z01)) AS ca,
  (1 - fx) / ((z10 - 0.25::DOUBLE) / (z10 - z00)) + fy / ((z10 - 0.25::DOUBLE) / (z10 - z11)) AS cb,
  fx / ((z01 - 0.25::DOUBLE) / (z01 - z11)) + (1 - fy) / ((z01 - 0.25::DOUBLE) / (z01 - z00)) AS cc,
  (1 - fx) / ((z11 - 0.25::DOUBLE) / (z11 - z01)) + (1 - fy) / ((z11 - 0.25::DOUBLE) / (z11 - z10)) AS cd
  FROM pc JOIN cl USING (gx, gy)),
-i AS (SELECT ind_id, sample_id FROM k WHERE CASE WHEN n = 0 THEN false WHEN n = 4 THEN true
+i AS MATERIALIZED (SELECT ind_id, sample_id FROM k WHERE CASE WHEN n = 0 THEN false WHEN n = 4 THEN true
  WHEN n = 1 THEN CASE WHEN a THEN ca <= 1 WHEN b THEN cb <= 1 WHEN c THEN cc <= 1 ELSE cd <= 1 END
  WHEN n = 3 THEN CASE WHEN NOT a THEN ca >= 1 WHEN NOT b THEN cb >= 1 WHEN NOT c THEN cc >= 1 ELSE cd >= 1 END
  WHEN a AND c THEN fx <= (z00 - 0.25::DOUBLE) / (z00 - z10) + ((z01 - 0.25::DOUBLE) / (z01 - z11) - (z00 - 0.25::DOUBLE) / (z00 - z10)) * fy
@@ -329,79 +288,38 @@ def density_grid(spark, sf_dir):
     return grid_ticks(samples, Grid.around(samples, embedding_scale(samples))).select("g", _round("x").alias("x"), _round("y").alias("y"))
 
 
-@query(f"WITH {_BINNED} SELECT ind_id, gx, gy, round(w, 6) AS w FROM w WHERE w > 1e-5")
-def kde_binned(spark, sf_dir):
-    samples, _, grid, ind = _frame(spark, sf_dir)
-    return binned(samples, grid, ind.membership).where("w > 1e-5").select("ind_id", "gx", "gy", _round("w").alias("w"))
-
-
-@query(f"WITH {_SMOOTH} SELECT ind_id, gx, gy, round(z, 5) AS z FROM z WHERE gx % 5 = 0 AND gy % 5 = 0")
-def kde_smoothed(spark, sf_dir):
-    samples, scale, grid, ind = _frame(spark, sf_dir)
-    return density(binned(samples, grid, ind.membership), grid, scale).where("gx % 5 = 0 AND gy % 5 = 0").select("ind_id", "gx", "gy", _round("z", 5).alias("z"))
-
-
-@query(f"WITH {_SMOOTH} SELECT ind_id, gx, gy, round(z_sum, 7) AS z_sum, round(z_max, 5) AS z_max FROM zm WHERE gx % 5 = 0 AND gy % 5 = 0")
-def kde_scaled(spark, sf_dir):
-    samples, scale, grid, ind = _frame(spark, sf_dir)
-    return density(binned(samples, grid, ind.membership), grid, scale).where("gx % 5 = 0 AND gy % 5 = 0").select("ind_id", "gx", "gy", _round("z_sum", 7).alias("z_sum"), _round("z_max", 5).alias("z_max"))
-
-
 @query(f"WITH {_BINNED} SELECT ind_id, gx, gy, round(w, 6) AS w FROM w")
-def kde_binned_whole(spark, sf_dir):
+def kde_binned(spark, sf_dir):
     """All weights, however small."""
     samples, _, grid, ind = _frame(spark, sf_dir)
     return binned(samples, grid, ind.membership).select("ind_id", "gx", "gy", _round("w").alias("w"))
 
 
 @query(f"WITH {_SMOOTH} SELECT ind_id, gx, gy, round(z, 5) AS z FROM z")
-def kde_smoothed_whole(spark, sf_dir):
+def kde_smoothed(spark, sf_dir):
     """Densities at all grid points."""
     samples, scale, grid, ind = _frame(spark, sf_dir)
     return density(binned(samples, grid, ind.membership), grid, scale).select("ind_id", "gx", "gy", _round("z", 5).alias("z"))
 
 
 @query(f"WITH {_SMOOTH} SELECT ind_id, gx, gy, round(z_sum, 7) AS z_sum, round(z_max, 5) AS z_max FROM zm")
-def kde_scaled_whole(spark, sf_dir):
+def kde_scaled(spark, sf_dir):
     """Scaled densities at all grid points."""
     samples, scale, grid, ind = _frame(spark, sf_dir)
     return density(binned(samples, grid, ind.membership), grid, scale).select("ind_id", "gx", "gy", _round("z_sum", 7).alias("z_sum"), _round("z_max", 5).alias("z_max"))
 
 
-_KERNEL_SQL = {
-    "gaussian": ("1.0", "exp(-0.5::DOUBLE * u * u)"),
-    "exponential": ("sqrt(0.5::DOUBLE)", "exp(-u)"),
-    "tri": ("sqrt(6.0::DOUBLE)", "greatest(1 - u, 0)"),
-    "epa": ("sqrt(5.0::DOUBLE)", "greatest(1 - u * u, 0)"),
-    "biweight": ("sqrt(7.0::DOUBLE)", "power(greatest(1 - u * u, 0), 2)"),
-    "triweight": ("3.0", "power(greatest(1 - u * u, 0), 3)"),
-    "tricube": ("sqrt(243.0::DOUBLE / 35)", "power(greatest(1 - u * u * u, 0), 3)"),
-    "cosine": ("1 / sqrt(1 - 8 / (pi() * pi()))", "CASE WHEN u <= 1 THEN cos(u * pi() / 2) ELSE 0 END"),
-}
-_KERNELS = " UNION ALL ".join(f"SELECT '{k}' AS kernel, ind_id, x, y, sum(w * {f}) AS z FROM (SELECT ind_id, x, y, w, d / ({wd}) AS u FROM far) GROUP BY ALL" for k, (wd, f) in _KERNEL_SQL.items())
-
-
-@query(f"""WITH {_BINNED}, t AS (SELECT i::INT AS i FROM range(0, 100, 4) t(i)),
-far AS (SELECT ind_id, a.i AS x, b.i AS y, w, sqrt(((a.i - gx) * dx) * ((a.i - gx) * dx) + ((b.i - gy) * dy) * ((b.i - gy) * dy)) / h AS d FROM w, t a, t b, g),
-z AS ({_KERNELS}) SELECT kernel, ind_id, x AS gx, y AS gy, round(z, 4) AS z FROM z WHERE z > 0.01""")
-def kde_kernels(spark, sf_dir):
-    """Densities with all smooth kernels, at every fourth tick."""
-    samples, scale, grid, ind = _frame(spark, sf_dir)
-    bins = binned(samples, grid, ind.membership).persist()
-    out = None
-    for kernel in _KERNEL_SQL:
-        own = density(bins, grid, scale, kernel).where("gx % 4 = 0 AND gy % 4 = 0 AND z > 0.01").select(F.lit(kernel).alias("kernel"), "ind_id", "gx", "gy", _round("z", 4).alias("z"))
-        out = own if out is None else out.unionByName(own)
-    return out
+#: All kernels but the box, whose edge falls on grid points.
+_SMOOTH_KERNELS = ("gaussian", "exponential", "tri", "epa", "biweight", "triweight", "tricube", "cosine")
 
 
 @query()
-def kde_kernels_whole(spark, sf_dir):
+def kde_kernels(spark, sf_dir):
     """Densities with all smooth kernels at all grid points, held against sums over all weights by a test."""
     samples, scale, grid, ind = _frame(spark, sf_dir)
     bins = binned(samples, grid, ind.membership).persist()
     out = None
-    for kernel in _KERNEL_SQL:
+    for kernel in _SMOOTH_KERNELS:
         own = density(bins, grid, scale, kernel).select(F.lit(kernel).alias("kernel"), "ind_id", "gx", "gy", _round("z", 4).alias("z"))
         out = own if out is None else out.unionByName(own)
     return out
@@ -427,34 +345,20 @@ def region_purity(spark, sf_dir):
     return rows.select(F.col("ra_id").alias("ind_id"), "n", _round("purity").alias("purity"))
 
 
-@query(f"WITH {_INSIDE} SELECT DISTINCT ind_id // 100000 AS grp, sample_id FROM i WHERE ind_id % 100000 IN (0, 1, 2)")
+@query(f"WITH {_INSIDE} SELECT DISTINCT ind_id // {encode.IND} AS grp, sample_id FROM i WHERE ind_id % {encode.IND} IN (0, 1, 2)")
 def region_union(spark, sf_dir):
     _, ind, inside = _inside(spark, sf_dir)
     groups = ind.indicators.where("ord <= 2").select(F.col("var_id").cast("long").alias("group"), "ind_id")
     return regions.merge_regions(inside, groups).select(F.col("group").alias("grp"), "sample_id")
 
 
-@query(f"WITH {_INSIDE} SELECT ind_id // 100000 AS grp, sample_id FROM i WHERE ind_id % 100000 IN (1, 2) GROUP BY 1, 2 HAVING count(DISTINCT ind_id) = 2")
+@query(f"WITH {_INSIDE} SELECT ind_id // {encode.IND} AS grp, sample_id FROM i WHERE ind_id % {encode.IND} IN (1, 2) GROUP BY 1, 2 HAVING count(DISTINCT ind_id) = 2")
 def region_intersection(spark, sf_dir):
     _, ind, inside = _inside(spark, sf_dir)
     groups = ind.indicators.where("ord IN (1, 2)").select(F.col("var_id").cast("long").alias("group"), "ind_id")
     return regions.merge_regions(inside, groups, "intersection").select(F.col("group").alias("grp"), "sample_id")
 
 
-@query()
-def region_split(spark, sf_dir):
-    """Parts of the regions of scattered indicators, and the samples in each."""
-    samples, scale, grid, _ = _frame(spark, sf_dir)
-    far = samples.where(F.greatest(F.abs("x"), F.abs("y")) > 0.12).select(F.lit(0).cast("long").alias("ind_id"), "sample_id")
-    cells = regions.region_cells(binned(samples, grid, far), grid, 0.5 * scale, level=0.5)
-    return regions.samples_inside(samples, cells, grid, 0.5).groupBy("ind_id", "part_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {_INSIDE} SELECT ind_id, 1::BIGINT AS parts FROM i GROUP BY 1")
-def region_parts_count(spark, sf_dir):
-    return _inside(spark, sf_dir)[2].groupBy("ind_id").agg(F.count_distinct("part_id").alias("parts"))
-
-
 @query("""
 WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity / 10 AS x0, l_discount * 10 AS y0, l_tax * 10 AS x1, l_quantity / 20 AS y1, l_discount * 20 AS x2, l_tax * 20 AS y2 FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(greatest(sqrt((x0-x1)*(x0-x1)+(y0-y1)*(y0-y1)), sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2)), sqrt((x2-x0)*(x2-x0)+(y2-y0)*(y2-y0))), 6) AS edge
@@ -537,43 +441,6 @@ def contained_members(spark, sf_dir):
     return scene.inside.join(scene.members, ["ra_id", "sample_id"])
 
 
-@query("""
-WITH RECURSIVE t(root, id) AS (SELECT c_nationkey, c_nationkey FROM customer GROUP BY 1 HAVING c_nationkey < 5
- UNION ALL SELECT root, id * 2 + k FROM t, (VALUES (5), (6)) v(k) WHERE id * 2 + k < 60)
-SELECT root, id FROM t a WHERE id * 2 + 5 >= 60 """)
-def lineage_leaves(spark, sf_dir):
-    """Leaves of a lineage of sources, level by level, in one recursive query."""
-    table(spark, sf_dir, "customer").createOrReplaceTempView("lineage_customer")
-    return spark.sql("""
-        WITH RECURSIVE t(root, id) AS (SELECT c_nationkey, c_nationkey FROM lineage_customer WHERE c_nationkey < 5 GROUP BY c_nationkey
-          UNION ALL SELECT root, id * 2 + k FROM t CROSS JOIN (VALUES (5), (6)) AS v(k) WHERE id * 2 + k < 60)
-        SELECT root, id FROM t WHERE id * 2 + 5 >= 60""")
-
-
-@query(f"WITH {_REGIONS}, vs AS (SELECT panel, string_agg(var_id::VARCHAR, ',' ORDER BY ra_id) AS vars, count(*)::BIGINT AS n FROM pa GROUP BY 1) SELECT vars, min(panel)::INT AS first_panel, sum(n)::BIGINT AS n FROM vs GROUP BY 1")
-def group_by_descriptor(spark, sf_dir):
-    scene, panels = _scene(spark, sf_dir)
-    rows = panels.join(scene.vars, "ra_id").groupBy("panel").agg(F.array_sort(F.collect_list(F.struct("ra_id", "var_id"))).alias("xs"), F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("vars", F.array_join(F.transform("xs", lambda s: s["var_id"].cast("string")), ","))
-    return rows.groupBy("vars").agg(F.min("panel").alias("first_panel"), F.sum("n").alias("n"))
-
-
-@query(f"WITH {_REGIONS} SELECT var_id, string_agg(ra_id::VARCHAR, ',' ORDER BY ra_id) AS ras FROM b GROUP BY 1")
-def group_by_base_var(spark, sf_dir):
-    scene, _ = _scene(spark, sf_dir)
-    return scene.vars.groupBy("var_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("ra_id")), lambda r: r.cast("string")), ",").alias("ras"))
-
-
-@query(f"WITH {_REGIONS}, k AS (SELECT p.*, vb.var_id FROM pr p JOIN b va ON va.ra_id = p.a JOIN b vb ON vb.ra_id = p.b AND va.var_id = vb.var_id AND (va.lo <= vb.hi AND vb.lo <= va.hi)) SELECT a, b FROM k WHERE c / least(n_a, n_b) >= 0.45")
-def merge_round(spark, sf_dir):
-    """One round of merging within variables: rules that can be merged and regions that share enough."""
-    scene, _ = _scene(spark, sf_dir)
-    bands = spark.createDataFrame(BANDS, "ra_id int, var_id int, lo double, hi double")
-    rule = bands.select("ra_id", "var_id", rules.interval(F.col("lo"), F.col("hi"), F.lit("x")).alias("rule"))
-    both = metrics.pairs(scene.inside).join(rule.select(F.col("ra_id").alias("a"), F.col("var_id").alias("v"), F.col("rule").alias("ra")), "a").join(rule.select(F.col("ra_id").alias("b"), F.col("var_id").alias("w"), F.col("rule").alias("rb")), "b")
-    return both.where((F.col("v") == F.col("w")) & rules.can_merge(F.col("ra"), F.col("rb")) & (metrics.max_shared_pct() >= 0.45)).select("a", "b")
-
-
 def _score_query(fn):
     def run(spark, sf_dir):
         return fn(*_scene(spark, sf_dir)).select("panel", _round("score").alias("score"))
@@ -616,23 +483,6 @@ def top_panels(spark, sf_dir):
     return scores.top_panels(scores.ranked(*_scene(spark, sf_dir)), 2).select("panel", _round("score").alias("score"))
 
 
-@query(f"WITH {_REGIONS} SELECT ra_id FROM pu WHERE n >= 50 AND purity >= 0.5")
-def descriptive_filter(spark, sf_dir):
-    scene, _ = _scene(spark, sf_dir)
-    return metrics.purity(scene.inside, scene.members).where("n >= 50 AND purity >= 0.5").select("ra_id")
-
-
-@query(f"WITH {_REGIONS} SELECT a.ra_id, bg.ra_id AS background FROM b a JOIN b bg ON a.var_id <> bg.var_id JOIN n ON n.ra_id = a.ra_id JOIN sh ON (sh.a = least(a.ra_id, bg.ra_id) AND sh.b = greatest(a.ra_id, bg.ra_id)) WHERE sh.c / n.n > 0.4")
-def background_enrichment(spark, sf_dir):
-    """Regions of other variables that cover enough of a region."""
-    scene, _ = _scene(spark, sf_dir)
-    shared = metrics.shared_counts(scene.inside)
-    both = shared.select(F.col("a").alias("ra_id"), F.col("b").alias("background"), "n_shared").unionByName(shared.select(F.col("b").alias("ra_id"), F.col("a").alias("background"), "n_shared"))
-    own = both.join(metrics.sizes(scene.inside), "ra_id").where(F.col("n_shared") / F.col("n") > 0.4)
-    same = scene.vars.select("ra_id", "var_id").join(scene.vars.select(F.col("ra_id").alias("background"), "var_id"), "var_id").select("ra_id", "background")
-    return own.select("ra_id", "background").join(same, ["ra_id", "background"], "left_anti")
-
-
 def _annotated(spark, sf_dir, features=("e0", "e1", "e2", "label"), **kw):
     from terrane.plans.annotate import generate_region_annotations
 
@@ -658,14 +508,15 @@ def _bin_names() -> str:
     for v, e in EDGES.items():
         for i in range(len(e) + 1):
             lo, hi = (None if i == 0 else e[i - 1]), (None if i == len(e) else e[i])
-            rows.append(f"({v * 100000 + i}, {v}, {i}, '{rules.Interval(lo, hi, f'e{v}')}')")
+            rows.append(f"({v * encode.IND + i}, {v}, {i}, '{rules.Interval(lo, hi, f'e{v}')}')")
     return "nm AS (SELECT ind::BIGINT AS ind_id, v::INT AS v, pos::INT AS pos, name FROM (VALUES " + ", ".join(rows) + ") t(ind, v, pos, name))"
 
 
 @query(f"WITH {_INSIDE}, {_bin_names()} SELECT v AS panel, pos, name, 1::INT AS leaves, count(*)::BIGINT AS n FROM i JOIN nm USING (ind_id) GROUP BY ALL")
 def region_annotations_fixed(spark, sf_dir):
-    """The flagship with fixed edges, where no regions merge."""
-    space, groups = _annotated(spark, sf_dir, ("e0", "e1"), edges=EDGES)
+    """The flagship with fixed edges, where no regions merge. Of the third variable all samples are in one bin: its other
+    bin has no region, and with the only one left it goes."""
+    space, groups = _annotated(spark, sf_dir, ("e0", "e1", "e2"), edges={**EDGES, 2: [5.0]})
     return _listed(spark, space, list(groups.values()))
 
 
@@ -973,11 +824,6 @@ def variable_colors(spark, sf_dir):
     return plotdata.variable_colors(rows, 3).select("n_nationkey", "color")
 
 
-@query()
-def wrapped_text(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", plotdata.wrapped(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 20).alias("text"))
-
-
 @query(f"WITH {_E} SELECT a.sample_id AS src, b.sample_id AS dst, round(a.x, 6) AS x0, round(a.y, 6) AS y0, round(b.x, 6) AS x1, round(b.y, 6) AS y1 FROM e a JOIN e b ON a.sample_id < b.sample_id WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 0.02")
 def graph_segments(spark, sf_dir):
     samples = _samples(spark, sf_dir)
@@ -1060,7 +906,7 @@ def label_quality(spark, sf_dir):
     rings = geometry.outlines(cells, grid).where("NOT hole").orderBy("ind_id", "ring").toPandas()  # outlines of a panel
     rings = rings.loc[rings.groupby("ind_id")["area"].idxmax()]
     rows = []
-    for panel, own in rings.groupby(rings["ind_id"] // 100_000):
+    for panel, own in rings.groupby(rings["ind_id"] // encode.IND):
         shapes = [np.array([(p["x"], p["y"]) for p in pts]) for pts in own["points"]]
         every = np.vstack(shapes)
         centre = (every.min(0) + every.max(0)) / 2
@@ -1142,8 +988,11 @@ def stream_assign(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from terrane import plan_queries  # noqa: F401 (registers its queries here)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -68,6 +68,14 @@ def ingest(df: DataFrame, id_col: str, categorical: set[str] = frozenset(), orde
     return Ingested(variables, numbers, coded.select("sample_id", "var_id", "level", "code"))
 
 
+def predicates(variables: DataFrame, indicators: DataFrame) -> DataFrame:
+    """(name, is_discrete, is_continuous, is_indicator, is_derived) of variables and of the indicators (var, ...) made
+    from them; an indicator is derived from its variable."""
+    flag = lambda v: F.lit(v)
+    own = variables.select("name", (F.col("kind") == DISCRETE).alias("is_discrete"), (F.col("kind") == CONTINUOUS).alias("is_continuous"), flag(False).alias("is_indicator"), flag(False).alias("is_derived"))
+    return own.unionByName(indicators.select(F.col("var").alias("name"), flag(False).alias("is_discrete"), flag(False).alias("is_continuous"), flag(True).alias("is_indicator"), flag(True).alias("is_derived")))
+
+
 def to_wide(data: Ingested, ids: DataFrame) -> DataFrame:
     """The feature table again: a column for each variable, levels decoded."""
     rows = data.variables.orderBy("var_id").collect()  # a row for each column of the input

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.operators.encode import IND
 from terrane.sources.shared import shared_folder
 
 
@@ -16,7 +17,7 @@ def indicators_of(values: dict[int, Column], edges: dict[int, list[float]]) -> C
     def place(v: int, c: Column) -> Column:
         c = F.nullif(c.cast("double"), F.lit(float("nan")))
         at = sum((F.when(c >= e, 1).otherwise(0) for e in edges[v]), F.lit(0))
-        return F.when(c.isNotNull(), F.lit(v * 100_000) + at).cast("long")
+        return F.when(c.isNotNull(), F.lit(v * IND) + at).cast("long")
 
     return F.array_compact(F.array(*[place(v, c) for v, c in values.items()]))
 

@@ -185,8 +185,8 @@ def test_whole_grids_are_returned(spark):
     samples, scale, grid, ind = core._frame(spark, sf)
     bins = binned(samples, grid, ind.membership).toPandas()
     ids = set(bins["ind_id"])
-    assert core.queries()["kde_binned_whole"](spark, sf).count() == len(bins)
-    got = core.queries()["kde_kernels_whole"](spark, sf).toPandas()
+    assert core.queries()["kde_binned"](spark, sf).count() == len(bins)
+    got = core.queries()["kde_kernels"](spark, sf).toPandas()
     assert len(got) == 8 * len(ids) * grid.n**2
     t = np.arange(grid.n)
     for ind_id in sorted(ids)[::4]:
