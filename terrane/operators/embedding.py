@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-#: Up to so many points (16 bytes each) every task has all of them; beyond, pairs are joined in blocks.
+from terrane.operators import neighbours
+
+#: Up to so many points (16 bytes each) every task has all of them; beyond, they are dealt into leaves of a tree.
 HELD_POINTS = 20_000
 GRID = 100
 
@@ -33,9 +34,7 @@ def neighbour_distances(samples: DataFrame, k: int, n: int) -> DataFrame:
 
         kind = samples.schema["sample_id"].dataType.simpleString()
         return samples.select("sample_id", "x", "y").mapInPandas(near, f"sample_id {kind}, distance double")
-    a, b = samples.alias("a"), samples.alias("b")
-    pairs = a.join(b, F.col("a.sample_id") != F.col("b.sample_id")).select(F.col("a.sample_id").alias("sample_id"), F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("sample_id").orderBy("distance"))).where(F.col("rank") == k).drop("rank")
+    return neighbours.nearest(samples, k).groupBy(F.col("src").alias("sample_id")).agg(F.max("distance").alias("distance"))
 
 
 def embedding_scale(samples: DataFrame, factor: float = 1.0) -> float:

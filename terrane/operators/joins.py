@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrane.operators import neighbours
 from terrane.operators.embedding import HELD_POINTS
 
 
@@ -56,9 +56,7 @@ def nearest(samples: DataFrame, k: int) -> DataFrame:
                     yield pd.DataFrame({"src": np.repeat(part["sample_id"].to_numpy(), pick.shape[1]), "dst": ids[pick.ravel()], "distance": np.take_along_axis(d, pick, 1).ravel()})
 
         return samples.select("sample_id", "x", "y").mapInPandas(near, f"src {kind}, dst {kind}, distance double")
-    a, b = samples.alias("a"), samples.alias("b")
-    pairs = a.join(b, F.col("a.sample_id") != F.col("b.sample_id")).select(F.col("a.sample_id").alias("src"), F.col("b.sample_id").alias("dst"), F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))).where(F.col("rank") <= k).drop("rank")
+    return neighbours.nearest(samples, k)
 
 
 def knn_graph(samples: DataFrame, k: int = 5) -> DataFrame:

@@ -6,23 +6,24 @@ from terrane.sources.ingest import UnsupportedColumn, ingest, sample_exact, to_w
 
 
 def table(spark):
-    rows = [(0, 5.0, 2.1, 0, "r", "low", 1.0, 3.0), (1, 2.0, 5.2, 0, "g", "low", 2.0, None), (2, 3.0, 5.1, 1, "b", "high", None, 1.2), (3, 1.0, 5.2, 0, "r", "med", float("nan"), None), (4, 5.0, 2.0, 1, "b", "high", 5.0, 5.1)]
-    return spark.createDataFrame(rows, "sample_id int, cont1 double, cont2 double, disc1 int, disc2 string, disc3 string, nans double, cont_na double")
+    """Drinks: numbers with and without gaps, a code, a colour and a size in its order."""
+    rows = [(10, 0.33, 41.0, 7, "amber", "small", 4.5, None), (11, 0.5, 38.5, 7, "pale", "large", None, 12.0), (12, 0.33, 55.25, 9, "dark", "medium", 9.0, 12.5), (13, 0.75, 38.5, 9, "amber", "medium", float("nan"), None), (14, 1.0, 60.0, 7, "pale", "small", 5.2, 11.0), (15, 0.5, 41.0, 8, None, "large", 4.5, 10.0)]
+    return spark.createDataFrame(rows, "sample_id int, litres double, bitterness double, code int, colour string, size string, strength double, wort double")
 
 
 def test_roundtrip(spark):
     df = table(spark)
-    data = ingest(df, "sample_id", categorical={"disc1"}, ordered={"disc3": ["low", "med", "high"]})
+    data = ingest(df, "sample_id", categorical={"code"}, ordered={"size": ["small", "medium", "large"]})
     kinds = {r["name"]: (r["kind"], r["categories"], r["ordered"]) for r in data.variables.collect()}
-    assert kinds["cont1"] == ("continuous", None, False)
-    assert kinds["disc2"] == ("discrete", ["b", "g", "r"], False)
-    assert kinds["disc3"] == ("discrete", ["low", "med", "high"], True)
+    assert kinds["litres"] == ("continuous", None, False)
+    assert kinds["colour"] == ("discrete", ["amber", "dark", "pale"], False)
+    assert kinds["size"] == ("discrete", ["small", "medium", "large"], True)
     back = {r["sample_id"]: r for r in to_wide(data, df).collect()}
     for r in df.collect():
-        for c in ("cont1", "cont2", "disc2", "disc3", "cont_na"):
+        for c in ("litres", "bitterness", "colour", "size", "wort"):
             assert back[r["sample_id"]][c] == r[c]
-        assert back[r["sample_id"]]["disc1"] == str(r["disc1"])
-    assert back[3]["nans"] is None
+        assert back[r["sample_id"]]["code"] == str(r["code"])
+    assert back[13]["strength"] is None
 
 
 def test_unsupported(spark):
@@ -38,19 +39,29 @@ def bins(spark, values, k):
     return encode.discretize(data.numbers, data.variables, encode.bin_edges(data.numbers, k))
 
 
-@pytest.mark.parametrize("k", [2, 3, 4, 5])
+@pytest.mark.parametrize("k", [2, 3, 4, 6])
 def test_every_bin_is_used(spark, k):
-    found = bins(spark, [2.1, 5.2, 5.1, 5.2, 2.0, 1.2], k)
+    values = [30.5, 31.0, 8.25, 8.5, 8.25, 17.0, 64.0, 45.75]
+    found = bins(spark, values, k)
     assert found.indicators.count() == k
-    assert found.membership.groupBy("sample_id").count().where("count = 1").count() == 6
+    assert found.membership.groupBy("sample_id").count().where("count = 1").count() == len(values)
     assert found.membership.select("ind_id").distinct().count() == k
 
 
 def test_two_bins_constant_and_missing(spark):
-    assert bins(spark, [5.0, 2.0, 3.0, 1.0, 5.0], 2).indicators.count() == 2
-    same = bins(spark, [0.0] * 10, 5)
-    assert [r["rule"]["kind"] for r in same.indicators.collect()] == ["eq"] and same.membership.count() == 10
-    assert bins(spark, [1.0, 2.0, None, float("nan"), 5.0], 2).membership.count() == 3
+    assert bins(spark, [9.0, 1.5, 4.0, 9.0, 2.0, 6.5], 2).indicators.count() == 2
+    same = bins(spark, [7.25] * 8, 4)
+    assert [r["rule"]["kind"] for r in same.indicators.collect()] == ["eq"] and same.membership.count() == 8
+    assert bins(spark, [3.0, None, 8.0, float("nan"), 4.0, None], 2).membership.count() == 3
+
+
+def test_more_levels_than_any_fixed_cap(spark):
+    """The ids of one variable's indicators do not run into those of the next, however many levels it has."""
+    n = 120_000
+    df = spark.range(n).select(F.col("id").alias("sample_id"), F.concat(F.lit("k"), "id").alias("many"), (F.col("id") % 3).cast("string").alias("few"))
+    found = encode.one_hot(*(lambda d: (d.levels, d.variables))(ingest(df, "sample_id")))
+    assert found.indicators.select("ind_id").distinct().count() == n + 3
+    assert found.membership.groupBy("ind_id").count().where("count > 1").count() == 3
 
 
 def test_distributed_bins_agree(spark):

@@ -15,8 +15,10 @@ def path(spark):
 
 
 def test_merge_nodes(spark):
-    g = graph.merge_nodes(path(spark), 1, 2, 99)
-    assert graph.as_sets(g) == {0: {99}, 3: {4}, 4: set(), 5: set(), 99: {3}}
+    nodes = spark.createDataFrame([(i,) for i in (10, 20, 30, 40, 50)], "id int")
+    edges = spark.createDataFrame([(10, 30), (30, 10), (20, 40), (40, 30), (30, 50), (20, 50), (40, 40)], "src int, dst int")
+    g = graph.merge_nodes(graph.Graph(nodes, edges), 30, 40, 7)
+    assert {k: v - {k} for k, v in graph.as_sets(g).items()} == {7: {10, 50}, 10: {7}, 20: {7, 50}, 50: set()}
 
 
 def test_components_keep_isolated_nodes(spark):

@@ -4,14 +4,15 @@ import pytest
 
 from terrane.functions.rules import Equals, IncompatibleRules, Interval, OneOf, merge_rules
 
-A, B, C = Interval(0, 5), Interval(5, 10), Interval(10, 15)
-D, E, F, G = Interval(0, 6), Interval(4, 10), Interval(9, 15), Interval(1, 4)
-LEFT, RIGHT = Interval(upper=6), Interval(lower=9)
+#: Three that touch in turn, three that overlap in turn, one within, two with an open end.
+A, B, C = Interval(-3, 1.5), Interval(1.5, 8), Interval(8, 20)
+D, E, F, G = Interval(-3, 2), Interval(1, 8.5), Interval(7, 20), Interval(-2.5, 0.25)
+LEFT, RIGHT = Interval(upper=2.25), Interval(lower=7.5)
 
 
 @pytest.mark.parametrize(
     ("a", "b", "can"),
-    [(A, B, True), (B, C, True), (A, C, False), (D, E, True), (E, F, True), (D, F, False), (A, G, True), (LEFT, B, True), (B, RIGHT, True), (LEFT, RIGHT, False), (Interval(7, 8), Interval(-50, math.inf), True), (Interval(7, 8), Interval(-math.inf, 50), True)],
+    [(A, B, True), (B, C, True), (A, C, False), (D, E, True), (E, F, True), (D, F, False), (A, G, True), (LEFT, B, True), (B, RIGHT, True), (LEFT, RIGHT, False), (Interval(3, 3.5), Interval(-9, math.inf), True), (Interval(3, 3.5), Interval(-math.inf, 31), True)],
 )
 def test_intervals_merge(a, b, can):
     assert a.can_merge_with(b) is can
@@ -36,30 +37,30 @@ def test_intervals_contain():
 
 
 def test_values_merge():
-    assert Equals(2).merge_with(Equals(3)) == OneOf({2, 3})
-    assert Equals(2).merge_with(Equals(2)) == OneOf({2})
-    assert OneOf({1, 2}).merge_with(OneOf({4, 5})) == OneOf({1, 2, 4, 5})
-    assert OneOf({1, 2}).merge_with(Equals(9)) == Equals(9).merge_with(OneOf({1, 2})) == OneOf({1, 2, 9})
+    assert Equals("n").merge_with(Equals("m")) == OneOf({"m", "n"})
+    assert Equals(4).merge_with(Equals(4)) == OneOf({4})
+    assert OneOf({7, 12}).merge_with(OneOf({3, 30})) == OneOf({3, 7, 12, 30})
+    assert OneOf({7, 12}).merge_with(Equals(5)) == Equals(5).merge_with(OneOf({7, 12})) == OneOf({5, 7, 12})
     with pytest.raises(IncompatibleRules):
-        Equals(2).merge_with(A)
+        Equals(4).merge_with(A)
 
 
 def test_values_contain():
-    assert Equals(2).contains(Equals(2)) and not Equals(2).contains(Equals(3)) and not Equals(2).contains(OneOf({2}))
-    assert OneOf({1, 2, 3}).contains(Equals(2)) and OneOf({1, 2, 3}).contains(OneOf({2, 3})) and not OneOf({2, 3}).contains(OneOf({1, 2}))
+    assert Equals(4).contains(Equals(4)) and not Equals(4).contains(Equals(5)) and not Equals(4).contains(OneOf({4}))
+    assert OneOf({4, 6, 8}).contains(Equals(6)) and OneOf({4, 6, 8}).contains(OneOf({4, 8})) and not OneOf({4, 8}).contains(OneOf({6, 8}))
 
 
 @pytest.mark.parametrize(
     ("rule", "text"),
     [
-        (Interval(0, 1, "x", 0), "0 < x < 1"),
-        (Interval(1, 2, "x", 1), "1.0 < x < 2.0"),
-        (Interval(2, 4, "x"), "2.00 < x < 4.00"),
-        (Interval(12000, 13000, "x", -3), "12000 < x < 13000"),
-        (Interval(lower=2, name="x", precision=0), "x > 2"),
-        (Interval(upper=2, name="x", precision=0), "x < 2"),
-        (Equals(2), "x = 2"),
-        (OneOf({3, 1, 2}), "x in {1, 2, 3}"),
+        (Interval(6, 9, "age", 0), "6 < age < 9"),
+        (Interval(-0.5, 3.25, "age", 1), "-0.5 < age < 3.2"),
+        (Interval(7, 8.125, "age"), "7.00 < age < 8.12"),
+        (Interval(48000, 51000, "pay", -3), "48000 < pay < 51000"),
+        (Interval(lower=11, name="age", precision=0), "age > 11"),
+        (Interval(upper=11, name="age", precision=0), "age < 11"),
+        (Equals("red", "ink"), "ink = red"),
+        (OneOf({"red", "blue"}, "ink"), "ink in {blue, red}"),
     ],
 )
 def test_text(rule, text):
@@ -68,11 +69,11 @@ def test_text(rule, text):
 
 def test_order_and_equality():
     assert sorted([C, A, B]) == [A, B, C]
-    assert Interval(0, 5, "a", 1) == Interval(0, 5, "b", 2) and hash(Interval(0, 5, "a")) == hash(Interval(0, 5, "b"))
-    assert Equals(1) < OneOf({2, 3}) and OneOf({1, 9}) < Equals(2) and Equals(2) != OneOf({2})
+    assert Interval(4, 6, "a", 1) == Interval(4, 6, "b", 2) and hash(Interval(4, 6, "a")) == hash(Interval(4, 6, "b"))
+    assert Equals(5) < OneOf({6, 11}) and OneOf({5, 40}) < Equals(6) and Equals(6) != OneOf({6})
 
 
 def test_fold_keeps_gaps():
-    bins = [Interval(0, 1), Interval(1, 2), Interval(3, 4), Interval(4, 5)]
-    assert merge_rules(bins[::-1]) == [Interval(0, 2), Interval(3, 5)]
-    assert merge_rules([Equals("b"), Equals("a")]) == [OneOf({"a", "b"})]
+    bins = [Interval(-4, -2), Interval(-2, 0.5), Interval(3, 6), Interval(6, 6.5), Interval(9, 10)]
+    assert merge_rules(bins[::-1]) == [Interval(-4, 0.5), Interval(3, 6.5), Interval(9, 10)]
+    assert merge_rules([Equals("q"), Equals("p")]) == [OneOf({"p", "q"})]
