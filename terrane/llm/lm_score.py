@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.bpe import _Numbered
 from terrane.llm.common import ids, map_texts, materialize
 
 #: Groups of words by their last bytes and by whether they are long; the end of a text is a group of its own behind them.
@@ -37,34 +37,50 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class _Endings(dict):
-    def __missing__(self, key):
-        self[key] = n = xxhash.xxh32_intdigest(key) % GROUPS
-        return n
+def _layout(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Ends of the words of a binary array without nulls, and their bytes."""
+    return np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64), bytes(words.buffers()[2] or b"")
 
 
-def groups_of(words) -> np.ndarray:
-    """The group of every word (as bytes)."""
-    base = _Endings()
-    ending = np.fromiter((base[w[-ENDING:]] for w in words), np.int64, len(words))
-    return (ending + (np.fromiter(map(len, words), np.int64, len(words)) > LONG) * (GROUPS // 2)) % GROUPS
+def hashes_of(words: pa.Array) -> np.ndarray:
+    ends, data = _layout(words)
+    at = ends.tolist()
+    return np.fromiter((xxhash.xxh64_intdigest(data[i:j]) for i, j in zip(at, at[1:])), np.uint64, len(words)).view(np.int64)
+
+
+def groups_of(words: pa.Array) -> np.ndarray:
+    """The group of every word of a binary array without nulls."""
+    ends, data = _layout(words)
+    size = np.diff(ends)
+    data = np.frombuffer(data, np.uint8)
+    ending = np.zeros(len(words), np.uint64)
+    for back in range(1, ENDING + 1):
+        has = np.flatnonzero(size >= back)
+        ending[has] = ending[has] * np.uint64(256) + data[ends[1:][has] - back]
+    mixed = (ending * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return ((mixed + np.where(size > LONG, np.uint64(GROUPS // 2), np.uint64(0))) % np.uint64(GROUPS)).astype(np.int64)
 
 
 class Tokens:
     """Words of a slice of texts: flat word numbers with an end (-1) behind each text, the words' hashes and groups."""
 
-    def __init__(self, docs: list[str | None]):
-        number = _Numbered()
-        own = []
-        for d in docs:
-            w = d.encode().lower().split() if d else []
-            own.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
-            own.append(np.array([-1]))
-        self.flat = np.concatenate(own)
-        self.sizes = np.array([len(x) + 1 for x in own[::2]], np.int64)
+    def __init__(self, docs: pa.Array):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(docs, "")))
+        doc = np.repeat(np.arange(len(docs)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        words = split.flatten()
+        full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # blanks at the ends leave empty ones
+        if not full.all():
+            words, doc = words.filter(pa.array(full)), doc[full]
+        found = words.dictionary_encode()
+        self.sizes = np.bincount(doc, minlength=len(docs)).astype(np.int64) + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)).view(np.int64)
-        self.groups = groups_of(number)
+        self.flat = np.full(int(self.sizes.sum()), -1)
+        inner = np.ones(len(self.flat), bool)
+        inner[self.starts + self.sizes - 1] = False
+        self.flat[inner] = found.indices.to_numpy()
+        distinct = found.dictionary.cast(pa.binary())
+        self.hashes = hashes_of(distinct)
+        self.groups = groups_of(distinct)
         self.doc = np.repeat(np.arange(len(docs)), self.sizes)
 
     def find(self, keys: np.ndarray, values: np.ndarray, missing: np.ndarray) -> np.ndarray:
@@ -141,7 +157,7 @@ def count_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             return out
 
         def work(batch: pa.RecordBatch):
-            t = Tokens(batch.column(1).to_pylist())
+            t = Tokens(batch.column(1))
             c = np.bincount(t.flat[t.flat >= 0], minlength=len(t.hashes)).astype(np.int64)
             held.append([np.append(t.hashes, _signed(END_HASH)), np.append(t.groups, GROUPS), np.append(c, batch.num_rows)])
             if sum(len(x[0]) for x in held) > FLUSH:
@@ -352,7 +368,7 @@ def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, rounds: int
             words = trainer.m.words
 
             def work(batch: pa.RecordBatch):
-                t = Tokens(batch.column(1).to_pylist())
+                t = Tokens(batch.column(1))
                 entries = t.entries(words)
                 one, two = t.contexts(entries, words.end)
                 order = trainer.draw.permutation(len(entries))
@@ -409,7 +425,7 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         rest_log = np.append(np.log10(vocabulary.rest), 0.0)
 
         def work(batch: pa.RecordBatch):
-            t = Tokens(batch.column(1).to_pylist())
+            t = Tokens(batch.column(1))
             known = t.find(counts.keys, counts.counts, np.full(len(t.hashes), -1))
             c = np.append(known, 0)[t.flat]
             entries = t.entries(vocabulary)

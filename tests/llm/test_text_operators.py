@@ -8,6 +8,7 @@ from math import log10
 
 import pytest
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 
@@ -391,7 +392,7 @@ def toy_counts(words: dict[str, int], least: int, ends: int = 50):
     from terrane.llm.lm_score import GROUPS, Vocabulary, _signed, groups_of
 
     h = np.array([_signed(xxhash.xxh64_intdigest(w.encode())) for w in words], np.int64)
-    g = groups_of([w.encode() for w in words])
+    g = groups_of(pa.array([w.encode() for w in words], pa.binary()))
     c = np.array(list(words.values()))
     rest = c < least
     return Vocabulary(h[~rest], g[~rest], c[~rest].astype(float), np.bincount(g[rest], c[rest], GROUPS), np.bincount(g[rest], minlength=GROUPS).astype(float), ends)
@@ -433,6 +434,16 @@ def test_model_is_normalised_and_learns(spark):
         assert model.log_p(np.array([a]), np.array([b]), np.array([c]))[0] / np.log(10) == pytest.approx(plain_log_p(model, a, b, c), abs=1e-4)
 
 
+def test_tokens_are_those_of_plain_splitting():
+    from terrane.llm.lm_score import Tokens, _signed, xxhash
+
+    docs = ["  Ab\tCD ab\x0b", None, "", " \n", "\u00c9t\u00e9 \u00a0x\u2003y AB", "one\r\ntwo\x0cTHREE\x1cfour"]
+    t = Tokens(pa.array(docs, pa.string()))
+    words = [w for d in docs for w in [*(d or "").encode().lower().split(), None]]
+    assert [None if i < 0 else int(t.hashes[i]) for i in t.flat] == [None if w is None else _signed(xxhash.xxh64_intdigest(w)) for w in words]
+    assert t.sizes.sum() == len(words) and len(t.hashes) == len(t.groups) == len(set(words) - {None}) and Tokens(pa.array(docs, pa.string())[2:4]).flat.tolist() == [-1, -1]
+
+
 def test_tasks_draw_different_noise():
     from terrane.llm.lm_score import LogBilinear, Trainer
 
@@ -457,11 +468,11 @@ def test_scores_against_the_plain_model(spark, density, common, monkeypatch):
         one = two = words.end
         total = 0.0
         for w in [*dict(docs)[r["doc_id"]].split(), None]:
-            g = lm_score.GROUPS if w is None else int(lm_score.groups_of([w.encode()])[0])
+            g = lm_score.GROUPS if w is None else int(lm_score.groups_of(pa.array([w.encode()], pa.binary()))[0])
             entry = words.end if w is None else own.get(lm_score._signed(lm_score.xxhash.xxh64_intdigest(w.encode())), int(words.start[g]))
             total += plain_log_p(models[0], one, two, entry)
             if w is not None and entry == words.start[g]:
-                others = [c for v, c in counts.items() if int(lm_score.groups_of([v.encode()])[0]) == g and lm_score._signed(lm_score.xxhash.xxh64_intdigest(v.encode())) not in own]
+                others = [c for v, c in counts.items() if int(lm_score.groups_of(pa.array([v.encode()], pa.binary()))[0]) == g and lm_score._signed(lm_score.xxhash.xxh64_intdigest(v.encode())) not in own]
                 total += log10((counts[w] + 0.5) / (sum(others) + 0.5 * (len(others) + 1)))
             one, two = entry, one
         assert r["score"] == pytest.approx(total, rel=1e-4)
