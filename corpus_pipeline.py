@@ -36,21 +36,27 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies stays, the one of the smallest doc_id; of rows that repeat it one."""
-    found = materialize(near_duplicates(docs), "copies")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    twice = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    left = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
-    # only rows whose doc_id may repeat are shuffled by their text
-    some, single = parted(left, [F.col("doc_id")], twice, [F.col("_twice")])
-    named = some.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(named).unionByName(some.where(F.col("doc_id").isNull())).select(COLUMNS)
+    found = materialize(near_duplicates(docs), "copies").where(F.col("doc_id").isNotNull())
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
+    some, rest = _touched(docs, gone.unionByName(twice))
+    return some.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").dropDuplicates(["doc_id", "text"]).unionByName(rest)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; of rows of one doc_id all, if one does."""
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    gone = materialize(found.where("contaminated").select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct(), "contaminated")
+    some, rest = _touched(docs, gone)
+    return some.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(rest)
+
+
+def _touched(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id may be one of the ids, all others, those without doc_id among them): of the texts only the
+    first are shuffled later."""
+    named = docs.select(COLUMNS).where(F.col("doc_id").isNotNull())
+    some, rest = parted(named, [F.col("doc_id")], ids, [F.col("_id")])
+    return some, rest.unionByName(docs.select(COLUMNS).where(F.col("doc_id").isNull()))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
