@@ -24,7 +24,9 @@ from terrane.llm.common import ids, map_texts, texts
 
 SHIFT = 20
 #: A task keeps the ids of so many pre-tokens, of so many bytes, before it starts anew.
-KEPT_WORDS, KEPT_BYTES = 1 << 19, 16 << 20
+KEPT_WORDS, KEPT_BYTES = 1 << 18, 8 << 20
+#: Bytes of a slice; the replay of its new pre-tokens takes some fifty for each of theirs.
+SLICE = 2 << 20
 
 
 class Merges:
@@ -253,7 +255,7 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         return work
 
     more = ", ids array<int>, decoded binary" if keep_ids else ""
-    return map_texts(df, id_col, text_col, worker, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return map_texts(df, id_col, text_col, worker, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}", limit=SLICE)
 
 
 __all__ = ["Corpus", "Merges", "byte_bpe", "decode", "encode_one", "encode_slice", "load_merges", "replay"]

@@ -19,6 +19,8 @@ from terrane.llm.bpe import _Numbered
 from terrane.llm.common import ids, map_texts, slices, small_batches, texts
 
 ORDER = 4
+#: Texts are looked at in slices of so many bytes: the costs of a slice's words take some hundred bytes for each character.
+SLICE = 3 << 20
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 words_in = re.compile(r"[^\W\d_]+").findall
@@ -201,7 +203,7 @@ def _calibrate(model: Model, held: DataFrame) -> None:
 
         return work
 
-    rows = map_texts(held, "id", "text", worker, "lang string, h array<double>", {"lang": F.col("lang")}).collect()  # about calibration_docs a language
+    rows = map_texts(held, "id", "text", worker, "lang string, h array<double>", {"lang": F.col("lang")}, SLICE).collect()  # about calibration_docs a language
     rows = [r for r in rows if r["h"] and max(r["h"]) > 0]
     if not rows:
         return
@@ -252,7 +254,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return work
 
     passed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in typed)
-    return map_texts(df, id_col, text_col, worker, f"`{id_col}` {kind}, {passed}lang_pred string, score double, cross_entropy double, rejected boolean", extra)
+    return map_texts(df, id_col, text_col, worker, f"`{id_col}` {kind}, {passed}lang_pred string, score double, cross_entropy double, rejected boolean", extra, SLICE)
 
 
 def identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -265,7 +267,7 @@ def identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         found = shared.value
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 docs = [x or "" for x in part.column(part.schema.get_field_index(text_col)).to_pylist()]
                 kept = [bool(found.languages and _LETTER.search(d)) and row.min() <= found.cutoff for d, row in zip(docs, found.entropies(docs))]
                 yield part.filter(pa.array(kept, pa.bool_()))
