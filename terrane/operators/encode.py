@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.rules import RULE, interval, values
 from terrane.sources.ingest import CONTINUOUS, DISCRETE, Ingested, number
+from terrane.sources.tables import small_table
 
 #: An indicator's id is its variable's number times this, plus its place among the variable's indicators.
 IND = 1 << 32
@@ -149,8 +150,8 @@ def discretize(numbers: DataFrame, names: DataFrame, edges: dict[int, list[float
         bounds = [float("-inf"), *e, float("inf")]
         rows += [(v, i, bounds[i], bounds[i + 1]) for i in range(len(e) + 1)] if e else []
     binned = [v for v, e in edges.items() if e]
-    table = spark.createDataFrame(rows, "var_id int, ord int, lower double, upper double")
-    spread = spark.createDataFrame([(v, edges[v]) for v in binned], "var_id int, edges array<double>")
+    table = small_table(spark, rows, "var_id int, ord int, lower double, upper double")
+    spread = small_table(spark, [(v, edges[v]) for v in binned], "var_id int, edges array<double>")
     own = numbers.where(F.col("value").isNotNull())
     placed = own.join(F.broadcast(spread), "var_id").select("sample_id", "var_id", F.size(F.filter("edges", lambda e: e <= F.col("value"))).alias("ord"))  # a row of edges for each column of the input
     bins = table.join(names.select("var_id", "name"), "var_id").select(_ind(F.col("var_id"), F.col("ord")).alias("ind_id"), "var_id", F.col("name").alias("var"), "ord", interval(F.col("lower"), F.col("upper"), F.col("name")).alias("rule"))

@@ -19,7 +19,7 @@ from terrane.operators.metrics import sizes
 from terrane.plans import annotate, contrastive, descriptive
 from terrane.queries import _E, _RULES, _SCORES, BANDS, _binned_members, _round, query
 from terrane.sources.ingest import UnsupportedColumn, ingest, predicates
-from terrane.sources.tables import embedded, table
+from terrane.sources.tables import embedded, small_table, table
 
 #: The bands of x again, as bands of a variable that is 2 x: the same regions by another description.
 TWICE = [(10 + i, 2, 2 * lo, 2 * hi) for i, (_, v, lo, hi) in enumerate(BANDS) if v == 0]
@@ -38,7 +38,7 @@ def _space(spark, sf_dir, twice: bool = False) -> tuple[annotate.Space, list[ann
         hit = [F.when((value[v] >= lo + shift * (1 + v // 2)) & (value[v] < hi + shift * (1 + v // 2)), F.lit(r).cast("long")) for r, v, lo, hi in bands]
         return e.select("sample_id", F.explode(F.array_compact(F.array(*hit))).alias("ind_id"))
 
-    indicators = spark.createDataFrame([(r, v, f"e{v}", r % 5) for r, v, _, _ in bands], "ind_id long, var_id int, var string, ord int")
+    indicators = small_table(spark, [(r, v, f"e{v}", r % 5) for r, v, _, _ in bands], "ind_id long, var_id int, var string, ord int")
     space = annotate.Space(e, Indicators(indicators, within(0.05)), 0.0, None, within(0.0).withColumn("part_id", F.lit(0)), None)
     made = [annotate.Annotation((annotate.Clause(v, rules.Interval(lo, hi, f"e{v}"), frozenset((r,))),), frozenset(((r, 0),))) for r, v, lo, hi in bands]
     return space, made
@@ -51,7 +51,7 @@ def _ras(a: annotate.Annotation) -> str:
 def _panels(space: annotate.Space, panels: list[list[annotate.Annotation]]) -> DataFrame:
     """(panel, pos, name, ras, leaves, n) of the annotations of every panel."""
     flat = [(k, i, a) for k, p in enumerate(panels) for i, a in enumerate(p)]
-    rows = space.spark.createDataFrame([(n, k, i, a.name, _ras(a), len(a.leaves())) for n, (k, i, a) in enumerate(flat)], "ra_id int, panel int, pos int, name string, ras string, leaves int")
+    rows = small_table(space.spark, [(n, k, i, a.name, _ras(a), len(a.leaves())) for n, (k, i, a) in enumerate(flat)], "ra_id int, panel int, pos int, name string, ras string, leaves int")
     if not flat:
         return rows.drop("ra_id").withColumn("n", F.lit(0).cast("long"))
     return rows.join(sizes(space.inside([a for _, _, a in flat])), "ra_id", "left").drop("ra_id")
@@ -88,7 +88,7 @@ def rule_order(spark, sf_dir):
         if len({r for _, r in made}) != len(made) or kind == "i" and len({rules.Interval(r.lower, r.upper, name, 3) for _, r in made for name in "ab"}) != len(made):
             raise AssertionError("equality of rules")
         out += [(n, i) for i, (n, _) in enumerate(sorted(made, key=lambda x: x[1]))]
-    return spark.createDataFrame(out, "id int, pos int")
+    return small_table(spark, out, "id int, pos int")
 
 
 @query("""
@@ -99,7 +99,7 @@ def merge_indicators(spark, sf_dir):
     """The rules of one variable's indicators, merged where they meet."""
     b = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_quantity") / 10).cast("int").alias("b")).distinct().where("b <> 2")
     own = [rules.Interval(10.0 * r["b"], 10.0 * r["b"] + 10) for r in b.collect()]  # a rule for each bin
-    return spark.createDataFrame([(m.lower, m.upper, sum(m.contains(r) for r in own)) for m in rules.merge_rules(own)], "lower double, upper double, n long")
+    return small_table(spark, [(m.lower, m.upper, sum(m.contains(r) for r in own)) for m in rules.merge_rules(own)], "lower double, upper double, n long")
 
 
 @query("SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS pos, n_name FROM nation")
@@ -112,7 +112,7 @@ def flatten_lists(spark, sf_dir):
         for name in reversed(r["names"]):
             nested = [[name], nested] if len(nested) % 2 else [name, nested]
         out += [(r["n_regionkey"], i, name) for i, name in enumerate(lists.flatten(nested))]
-    return spark.createDataFrame(out, "n_regionkey int, pos int, n_name string")
+    return small_table(spark, out, "n_regionkey int, pos int, n_name string")
 
 
 _TYPES = {"p_partkey": "continuous", "p_name": "discrete", "p_size": "continuous", "p_retailprice": "continuous", "flag": "continuous", "code": "discrete"}
@@ -129,7 +129,7 @@ def variable_kinds(spark, sf_dir):
             ingest(one, "id", strict=strict)
         except UnsupportedColumn:
             rows.append((name, "rejected"))
-    return spark.createDataFrame(rows, "name string, kind string")
+    return small_table(spark, rows, "name string, kind string")
 
 
 @query("""
@@ -181,7 +181,7 @@ def annotation_merge(spark, sf_dir):
                 rows.append((i, j, a.can_merge_with(b), m.name, _ras(m)))
             except rules.IncompatibleIndicators as e:
                 rows.append((i, j, a.can_merge_with(b), type(e).__name__, None))
-    return spark.createDataFrame(rows, "a int, b int, can boolean, name string, ras string")
+    return small_table(spark, rows, "a int, b int, can boolean, name string, ras string")
 
 
 @query(_sql(True) + """
@@ -194,7 +194,7 @@ def annotation_groups(spark, sf_dir):
     both = [annotate.merge_annotations([a, b]) for a, b in zip(made[:5], made[10:])]
     rows = [("variables", ",".join(map(str, k)), " ".join(map(_ras, v))) for k, v in annotate.by_variables(made + both).items()]
     rows += [("base", str(k), " ".join(map(_ras, v))) for k, v in annotate.by_base_variable(made[::-1]).items()]
-    return spark.createDataFrame(rows, "by string, key string, ras string")
+    return small_table(spark, rows, "by string, key string, ras string")
 
 
 @query(_sql() + """, x AS (SELECT * FROM (VALUES (0, 1), (0, 2), (0, 6), (1, 3), (1, 8)) v(root, leaf)) SELECT root::INT AS root, leaf::INT AS leaf, n FROM x JOIN n ON n.ra_id = leaf""")
@@ -204,7 +204,7 @@ def lineage_leaves(spark, sf_dir):
     one = annotate.merge_annotations([annotate.merge_annotations([made[1], made[6]]), made[2], annotate.merge_annotations([made[2]])])
     two = annotate.merge_annotations([made[8], annotate.merge_annotations([made[3], made[8]])])
     rows = [(k, int(_ras(leaf))) for k, a in enumerate((one, two)) for leaf in a.leaves()]
-    return spark.createDataFrame(rows, "root int, leaf int").join(sizes(space.inside(made)).withColumnRenamed("ra_id", "leaf"), "leaf")
+    return small_table(spark, rows, "root int, leaf int").join(sizes(space.inside(made)).withColumnRenamed("ra_id", "leaf"), "leaf")
 
 
 def _components(nodes: str, edges: str, tag: str) -> str:
@@ -219,7 +219,7 @@ def annotation_split(spark, sf_dir):
     """The connected parts of a region of four bands."""
     space, made = _space(spark, sf_dir)
     whole = annotate.Annotation(made[0].clauses, frozenset().union(*[made[i].pieces for i in (0, 1, 3, 4)]))
-    return spark.createDataFrame([(min(p.pieces)[0], _ras(p)) for p in space.split(whole)], "part int, ras string")
+    return small_table(spark, [(min(p.pieces)[0], _ras(p)) for p in space.split(whole)], "part int, ras string")
 
 
 def _merge_sql(share: float, rounds: int) -> str:
@@ -280,13 +280,13 @@ def contrastive_merge_bands(spark, sf_dir):
 def panel_score_single(spark, sf_dir):
     """A single candidate has nothing to be better than."""
     space, made = _space(spark, sf_dir)
-    return spark.createDataFrame(contrastive.panel_scores(space, [made[:5]]), "panel int, score double")
+    return small_table(spark, contrastive.panel_scores(space, [made[:5]]), "panel int, score double")
 
 
 @query(_sql() + " SELECT ra_id::VARCHAR AS ras FROM pu WHERE n >= 50 AND purity >= 0.5")
 def descriptive_filter(spark, sf_dir):
     space, made = _space(spark, sf_dir)
-    return spark.createDataFrame([(_ras(a),) for a in descriptive.filter_annotations(space, made, 50, 0.5)], "ras string")
+    return small_table(spark, [(_ras(a),) for a in descriptive.filter_annotations(space, made, 50, 0.5)], "ras string")
 
 
 @query(_sql(True) + ", " + _components("SELECT ra_id AS id FROM b", "SELECT a, b FROM pr WHERE c / greatest(n_a, n_b) > 0.45::DOUBLE", "mc") + """,
@@ -328,7 +328,7 @@ _COVERS = "SELECT a.ra_id, bg.ra_id AS background FROM %s a JOIN b bg ON a.var_i
 
 def _backgrounds(spark, panels) -> DataFrame:
     rows = [(int(_ras(a)), int(i)) for p in panels for a in p for c in a.clauses for i in c.inds if str(i) != _ras(a)]
-    return spark.createDataFrame(rows, "ra_id int, background int")
+    return small_table(spark, rows, "ra_id int, background int")
 
 
 @query(_sql() + " " + _COVERS % "b")
@@ -343,7 +343,7 @@ def descriptive_bands(spark, sf_dir):
     """Split, filter, merge, lay out and enrich: the best panel's regions, each beside itself, and what describes them too."""
     space, made = _space(spark, sf_dir)
     panels = descriptive.descriptive(space, made, max_panels=1, cluster_min_purity=0.35, background_enrichment_threshold=0.4)
-    own = spark.createDataFrame([(int(_ras(a)), int(_ras(a))) for p in panels for a in p], "ra_id int, background int")
+    own = small_table(spark, [(int(_ras(a)), int(_ras(a))) for p in panels for a in p], "ra_id int, background int")
     return own.unionByName(_backgrounds(spark, panels))
 
 
@@ -450,7 +450,7 @@ def subregions(spark, sf_dir):
     space, made = _space(spark, sf_dir)
     whole = [annotate.merge_annotations([made[1], made[2], made[6]]), annotate.merge_annotations([made[3], made[8]])]
     rows, parts = plotdata.subregions(whole, ["#a", "#b"])
-    listed = spark.createDataFrame([(k, i, _ras(a), c, n) for n, ((k, i, c), a) in enumerate(zip(rows, parts))], "ra_id int, pos int, ras string, color string, part int")
+    listed = small_table(spark, [(k, i, _ras(a), c, n) for n, ((k, i, c), a) in enumerate(zip(rows, parts))], "ra_id int, pos int, ras string, color string, part int")
     return listed.join(sizes(space.inside(parts)).withColumnRenamed("ra_id", "part"), "part").drop("part")
 
 

@@ -22,6 +22,7 @@ from terrane.operators.regions import inside_triangles, region_cells, samples_in
 from terrane.operators.scores import Scene
 from terrane.sources.ingest import ingest, sample_exact
 from terrane.sources.shared import settled
+from terrane.sources.tables import small_table
 
 
 @dataclass(frozen=True)
@@ -130,7 +131,7 @@ class Space:
         return self.samples.sparkSession
 
     def _listed(self, rows: list[tuple], schema: str) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+        return small_table(self.spark, rows, schema)
 
     def inside(self, annotations: list[Annotation]) -> DataFrame:
         """(ra_id, sample_id) with the place in the list as ra_id."""
@@ -160,10 +161,10 @@ class Space:
         if same_variable:
             inside, same = inside.join(self.vars(annotations), "ra_id"), "var_id"
         inside = inside.persist()
-        n = {r["ra_id"]: r["n"] for r in sizes(inside).collect()}
-        shared = {(r["a"], r["b"]): r["n_shared"] for r in shared_counts(inside, same).collect()}
+        own = sizes(inside).select(F.col("ra_id").alias("a"), F.col("ra_id").alias("b"), F.col("n").alias("n_shared"))
+        rows = own.unionByName(shared_counts(inside, same)).collect()
         inside.unpersist()
-        return n, shared
+        return {r["a"]: r["n_shared"] for r in rows if r["a"] == r["b"]}, {(r["a"], r["b"]): r["n_shared"] for r in rows if r["a"] != r["b"]}
 
     def touching(self) -> dict[tuple, set]:
         """For every piece the pieces that it overlaps: they share a sample or a grid point."""

@@ -8,6 +8,7 @@ from terrane.operators.graph import small_components
 from terrane.operators.metrics import EPSILON
 from terrane.operators.scores import CONTRASTIVE, ranked, top_panels
 from terrane.plans.annotate import Annotation, Space, by_variables, merge_annotations
+from terrane.sources.tables import small_table
 
 
 def merge_contrastive(space: Space, annotations: list[Annotation], threshold: float = 0.95) -> list[list[Annotation]]:
@@ -51,6 +52,6 @@ def panel_scores(space: Space, candidates: list[list[Annotation]], ranking_funcs
         return []
     flat = sorted({a for p in candidates for a in p}, key=lambda a: a.order)
     place = {a: i for i, a in enumerate(flat)}
-    listed = space.spark.createDataFrame([(i, place[a]) for i, p in enumerate(candidates) for a in p], "panel int, ra_id int")
+    listed = small_table(space.spark, [(i, place[a]) for i, p in enumerate(candidates) for a in p], "panel int, ra_id int")
     rows = top_panels(ranked(space.scene(flat), listed, ranking_funcs), max_panels).collect()  # a row for each panel
     return [(r["panel"], -1.0 if len(candidates) == 1 else r["score"]) for r in rows]

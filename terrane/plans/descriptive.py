@@ -12,6 +12,7 @@ from terrane.operators.metrics import pairs, purity
 from terrane.operators.metrics import min_shared_pct as default_metric
 from terrane.operators.scores import DESCRIPTIVE, ranked
 from terrane.plans.annotate import Annotation, Space, merge_annotations, merge_clauses
+from terrane.sources.tables import small_table
 
 #: Fixed bound: with fewer regions all ways to choose panels are looked at, else a colouring stands in.
 EXACT_BELOW = 20
@@ -64,7 +65,7 @@ def generate_layout(space: Space, annotations: list[Annotation], max_panels: int
                 colors[c].append(i)
             sets = [sorted(s) for _, s in sorted(colors.items())]
         if len(sets) > 1:
-            listed = space.spark.createDataFrame([(k, i) for k, s in enumerate(sets) for i in s], "panel int, ra_id int")
+            listed = small_table(space.spark, [(k, i) for k, s in enumerate(sets) for i in s], "panel int, ra_id int")
             best = ranked(scene, listed, ranking_funcs).orderBy(F.desc("score"), "panel").first()["panel"]
         else:
             best = 0

@@ -15,7 +15,7 @@ from terrane.functions import boxes, rules
 from terrane.operators import encode, geometry, graph, joins, metrics, plotdata, regions, scores
 from terrane.operators.embedding import Grid, binned, density, embedding_scale, grid_ticks, neighbour_distances
 from terrane.sources.ingest import ingest, sample_exact, to_wide
-from terrane.sources.tables import embedded, table
+from terrane.sources.tables import embedded, small_table, table
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -81,7 +81,7 @@ SELECT * FROM (VALUES ('l_quantity', 1), ('l_tax', 1), ('l_linestatus', 1)) v(na
 def filter_constant(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_tax", "l_linestatus", F.lit(3.0).alias("same"), F.when(F.col("l_orderkey") % 2 == 0, 5.0).otherwise(float("nan")).alias("same_or_nan"))
     kept = encode.informative_columns(df, "l_orderkey")
-    return spark.createDataFrame([(c, 1) for c in kept], "name string, keep int")
+    return small_table(spark, [(c, 1) for c in kept], "name string, keep int")
 
 
 @query("SELECT ord::INT AS ord, count(*)::BIGINT AS n FROM (SELECT (p_size >= 10.5)::INT + (p_size >= 20.5)::INT + (p_size >= 30.5)::INT + (p_size >= 40.5)::INT AS ord FROM part) GROUP BY 1")
@@ -162,7 +162,7 @@ p AS (SELECT a.id AS a, b.id AS b, a.kind AS ka, b.kind AS kb, a.lo AS la, a.up
 
 def _rule_rows(spark: SparkSession) -> DataFrame:
     rows = [(n, None if lo is None else float(lo), None if up is None else float(up), None if v is None else v.split(",")) for n, (_, lo, up, v) in enumerate(_RULES)]
-    df = spark.createDataFrame(rows, "id int, lo double, up double, v array<string>")
+    df = small_table(spark, rows, "id int, lo double, up double, v array<string>")
     name = F.lit("x")
     rule = F.when(F.col("v").isNull(), rules.interval(F.col("lo"), F.col("up"), name)).otherwise(rules.values(F.col("v"), name))
     return df.select("id", rule.cast(rules.RULE).alias("rule"))
@@ -279,7 +279,7 @@ def kth_neighbor(spark, sf_dir):
 @query(f"WITH {_SCALE} SELECT round(scale, 6) AS scale, round(scale * 0.5::DOUBLE, 6) AS half FROM s")
 def embedding_scale_value(spark, sf_dir):
     samples = _samples(spark, sf_dir).persist()
-    return spark.createDataFrame([(embedding_scale(samples), embedding_scale(samples, 0.5))], "scale double, half double").select(_round("scale").alias("scale"), _round("half").alias("half"))
+    return small_table(spark, [(embedding_scale(samples), embedding_scale(samples, 0.5))], "scale double, half double").select(_round("scale").alias("scale"), _round("half").alias("half"))
 
 
 @query(f"WITH {_GRID} SELECT i::INT AS g, round(x0 + i * dx, 6) AS x, round(y0 + i * dy, 6) AS y FROM g, range(100) t(i)")
@@ -309,13 +309,29 @@ def kde_scaled(spark, sf_dir):
     return density(binned(samples, grid, ind.membership), grid, scale).select("ind_id", "gx", "gy", _round("z_sum", 7).alias("z_sum"), _round("z_max", 5).alias("z_max"))
 
 
-#: All kernels but the box, whose edge falls on grid points.
-_SMOOTH_KERNELS = ("gaussian", "exponential", "tri", "epa", "biweight", "triweight", "tricube", "cosine")
+#: All kernels but the box, whose edge falls on grid points; each as SQL of the distance in bandwidths over its width.
+_SMOOTH_KERNELS = {
+    "gaussian": "exp(-0.5::DOUBLE * d * d)",
+    "exponential": "exp(-d * sqrt(2))",
+    "tri": "greatest(1 - d / sqrt(6), 0)",
+    "epa": "greatest(1 - d * d / 5, 0)",
+    "biweight": "greatest(1 - d * d / 7, 0) ** 2",
+    "triweight": "greatest(1 - d * d / 9, 0) ** 3",
+    "tricube": "greatest(1 - (d / sqrt(243 / 35)) ** 3, 0) ** 3",
+    "cosine": "cos(least(d * sqrt(1 - 8 / (pi() * pi())), 1) * pi() / 2)",
+}
+_KERNELS = (
+    _BINNED
+    + ", t AS (SELECT i::INT AS i FROM range(100) t(i)), far AS (SELECT p.i AS di, q.i AS dj, sqrt(p.i * dx * p.i * dx + q.i * dy * q.i * dy) / h AS d FROM t p, t q, g)"
+    + ", k AS MATERIALIZED (SELECT di, dj, " + ", ".join(f"{sql} AS {name}" for name, sql in _SMOOTH_KERNELS.items()) + " FROM far)"
+    + ", z AS MATERIALIZED (SELECT ind_id, p.i AS gx, q.i AS gy, " + ", ".join(f"sum(w * {name}) AS {name}" for name in _SMOOTH_KERNELS)
+    + " FROM w, t p, t q, k WHERE k.di = abs(p.i - w.gx) AND k.dj = abs(q.i - w.gy) GROUP BY ALL)"
+)
 
 
-@query()
+@query(f"WITH {_KERNELS} SELECT kernel, ind_id, gx, gy, round(z, 4) AS z FROM (UNPIVOT z ON {', '.join(_SMOOTH_KERNELS)} INTO NAME kernel VALUE z)")
 def kde_kernels(spark, sf_dir):
-    """Densities with all smooth kernels at all grid points, held against sums over all weights by a test."""
+    """Densities with all smooth kernels at all grid points."""
     samples, scale, grid, ind = _frame(spark, sf_dir)
     bins = binned(samples, grid, ind.membership).persist()
     out = None
@@ -393,7 +409,7 @@ pa AS (SELECT var_id AS panel, ra_id, var_id FROM b UNION ALL SELECT 2, ra_id, v
 
 def _scene(spark, sf_dir) -> tuple[scores.Scene, DataFrame]:
     e = embedded(spark, sf_dir).select("sample_id", "x", "y")
-    bands = spark.createDataFrame(BANDS, "ra_id int, var_id int, lo double, hi double")
+    bands = small_table(spark, BANDS, "ra_id int, var_id int, lo double, hi double")
 
     def within(shift: float) -> DataFrame:
         hit = [F.when((F.col("xy"[v]) >= lo + shift) & (F.col("xy"[v]) < hi + shift), F.lit(r)) for r, v, lo, hi in BANDS]
@@ -401,7 +417,7 @@ def _scene(spark, sf_dir) -> tuple[scores.Scene, DataFrame]:
 
     panels = [(v, r) for r, v, _, _ in BANDS] + [(2, r) for r in (0, 2, 4, 6, 8)] + [(3, r) for r in (1, 7)]
     scene = scores.Scene(bands.select("ra_id", "var_id"), within(0.0), within(0.05), e.count())
-    return scene, spark.createDataFrame(panels, "panel int, ra_id int")
+    return scene, small_table(spark, panels, "panel int, ra_id int")
 
 
 def _pair_query(metric):
@@ -492,8 +508,8 @@ def _annotated(spark, sf_dir, features=("e0", "e1", "e2", "label"), **kw):
 
 def _listed(spark, space, panels) -> DataFrame:
     flat = [(k, i, a) for k, p in enumerate(panels) for i, a in enumerate(p)]
-    rows = spark.createDataFrame([(n, k, i, a.name, len(a.leaves())) for n, (k, i, a) in enumerate(flat)], "ra_id int, panel int, pos int, name string, leaves int")
-    return rows.join(metrics.sizes(space.inside([a for _, _, a in flat])) if flat else spark.createDataFrame([], "ra_id int, n long"), "ra_id", "left").drop("ra_id")
+    rows = small_table(spark, [(n, k, i, a.name, len(a.leaves())) for n, (k, i, a) in enumerate(flat)], "ra_id int, panel int, pos int, name string, leaves int")
+    return rows.join(metrics.sizes(space.inside([a for _, _, a in flat])) if flat else small_table(spark, [], "ra_id int, n long"), "ra_id", "left").drop("ra_id")
 
 
 @query()
@@ -701,7 +717,7 @@ def graph_complement(spark, sf_dir):
 @query(f"WITH {_GRAPH}, x AS (SELECT * FROM un UNION SELECT 1, 2 UNION SELECT 2, 1) SELECT DISTINCT CASE WHEN src IN (1, 2) THEN 999999999 ELSE src END AS src, CASE WHEN dst IN (1, 2) THEN 999999999 ELSE dst END AS dst FROM x WHERE NOT (src IN (1, 2) AND dst IN (1, 2))")
 def graph_merge_nodes(spark, sf_dir):
     g = _undirected(spark, sf_dir)
-    extra = spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    extra = small_table(spark, [(1, 2), (2, 1)], "src long, dst long")
     return graph.merge_nodes(graph.Graph(g.nodes, g.edges.unionByName(extra).distinct()), 1, 2, 999999999).edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 
 
@@ -720,7 +736,7 @@ def graph_components(spark, sf_dir):
 def _sets_query(fn):
     def run(spark, sf_dir):
         found = fn(graph.as_sets(_region_graph(spark, sf_dir)))
-        return spark.createDataFrame([(",".join(map(str, sorted(s))), len(s)) for s in found], "nodes string, n int")
+        return small_table(spark, [(",".join(map(str, sorted(s))), len(s)) for s in found], "nodes string, n int")
 
     return run
 
@@ -747,7 +763,7 @@ SELECT strategy, id::INT AS id, color::INT AS color FROM (SELECT strategy, unnes
 def graph_coloring(spark, sf_dir):
     g = graph.as_sets(_region_graph(spark, sf_dir))
     rows = [(o, v, c) for o in ("given", "degree", "largest_first") for v, c in graph.greedy_coloring(g, o).items()]
-    return spark.createDataFrame(rows, "strategy string, id int, color int")
+    return small_table(spark, rows, "strategy string, id int, color int")
 
 
 @query(f"""WITH {_GRAPH}, o AS (SELECT DISTINCT src, dst FROM un WHERE src <= dst),
@@ -919,7 +935,7 @@ def label_quality(spark, sf_dir):
         moved = labels.optimize([labels.box_ring((x - w / 2, y - h / 2, x + w / 2, y + h / 2)) for x, y in places], shapes, around, axes)
         faults = labels.quality(moved, shapes, axes)
         rows.append((int(panel), float(labels.penalty(faults)), *[faults[k] for k in labels.PENALTIES]))
-    return spark.createDataFrame(rows, "panel int, penalty double, " + ", ".join(f"{k} double" for k in labels.PENALTIES))
+    return small_table(spark, rows, "panel int, penalty double, " + ", ".join(f"{k} double" for k in labels.PENALTIES))
 
 
 # ---- areas

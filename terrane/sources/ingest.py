@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrane.sources.tables import small_table
+
 CONTINUOUS, DISCRETE = "continuous", "discrete"
 
 
@@ -61,7 +63,7 @@ def ingest(df: DataFrame, id_col: str, categorical: set[str] = frozenset(), orde
     listed = {var_id[n]: v for n, v in ordered.items()}
     found = levels.where(~F.col("var_id").isin(*listed)) if listed else levels
     found = found.groupBy("var_id").agg(F.array_sort(F.collect_set("level")).alias("categories"))
-    names = spark.createDataFrame([(var_id[n], n, k, n in ordered, listed.get(var_id[n])) for n, k in kinds.items()], "var_id int, name string, kind string, ordered boolean, given array<string>")
+    names = small_table(spark, [(var_id[n], n, k, n in ordered, listed.get(var_id[n])) for n, k in kinds.items()], "var_id int, name string, kind string, ordered boolean, given array<string>")
     variables = names.join(found, "var_id", "left").select("var_id", "name", "kind", F.coalesce("given", "categories").alias("categories"), "ordered")
     coded = levels.join(variables.select("var_id", "categories"), "var_id")
     coded = coded.withColumn("code", (F.array_position("categories", F.col("level")) - 1).cast("double")).where(F.col("code") >= 0)
