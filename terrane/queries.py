@@ -546,10 +546,10 @@ f AS (SELECT v, (5 * count(*) OVER (ORDER BY jc.s RANGE BETWEEN UNBOUNDED PRECED
 o AS (SELECT v, (row_number() OVER (ORDER BY score DESC, v DESC) - 1)::INT AS panel FROM f)
 SELECT panel, pos, name, 1::INT AS leaves, n::BIGINT AS n FROM o JOIN nm USING (v) JOIN sz USING (ind_id)""")
 def contrastive_fixed(spark, sf_dir):
-    """Contrastive panels of fixed bins, best first."""
+    """Contrastive panels of fixed bins, best first, from all samples."""
     from terrane.plans.contrastive import contrastive as run
 
-    space, groups = _annotated(spark, sf_dir, ("e0", "e1"), edges=EDGES)
+    space, groups = _annotated(spark, sf_dir, ("e0", "e1"), edges=EDGES, sample_size=None)
     return _listed(spark, space, run(space, [a for g in groups.values() for a in g]))
 
 

@@ -23,6 +23,16 @@ def test_nearest_against_brute_force(spark, k, leaf):
         assert sorted(got[i]) == exact
 
 
+@pytest.mark.parametrize(("k", "leaf", "merged"), [(1, 8, 10**6), (5, 8, 500), (40, 8, 2000), (130, 8, 10**6), (3, 10**6, 10**6), (900, 8, 10**6)])
+def test_kth_distances_against_brute_force(spark, monkeypatch, k, leaf, merged):
+    monkeypatch.setattr(neighbours, "MERGED", merged)
+    xy = points(k, 500)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "sample_id long, x double, y double")
+    got = {r["sample_id"]: r["distance"] for r in neighbours.kth_distances(df, k, leaf).collect()}
+    d = np.sort(np.hypot(xy[:, None, 0] - xy[:, 0], xy[:, None, 1] - xy[:, 1]), axis=1)
+    assert [got[i] for i in range(len(xy))] == d[:, min(k, len(xy) - 1)].tolist()
+
+
 def test_small_and_large_inputs_agree(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points(9, 300))], "sample_id long, x double, y double")
     one = sorted(map(tuple, joins.knn_graph(df, 4).collect())), embedding.embedding_scale(df)

@@ -36,3 +36,16 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
 def test_query_gives_rows(spark, name):
     assert core.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["contrastive_fixed"])
+def test_fixed_plans_take_all_samples(spark, tmp_path, name):
+    """More samples than the plans draw unless they are told to take all."""
+    duckdb.execute(f"""COPY (SELECT t.k * 500 + vec_id AS vec_id, list_transform(embedding, lambda v: (v + t.k * 0.0011 * (1 + vec_id % 7))::FLOAT) AS embedding, label
+        FROM '{SF}/embeddings.parquet', range(11) t(k)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)""")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    df = core.queries()[name](spark, str(tmp_path))
+    found = con.execute(core.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    assert plain([r.asDict() for r in df.collect()], names) == plain([dict(zip(names, r)) for r in found.fetchall()], names)
