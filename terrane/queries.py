@@ -530,9 +530,9 @@ def _bin_names() -> str:
 
 @query(f"WITH {_INSIDE}, {_bin_names()} SELECT v AS panel, pos, name, 1::INT AS leaves, count(*)::BIGINT AS n FROM i JOIN nm USING (ind_id) GROUP BY ALL")
 def region_annotations_fixed(spark, sf_dir):
-    """The flagship with fixed edges, where no regions merge. Of the third variable all samples are in one bin: its other
-    bin has no region, and with the only one left it goes."""
-    space, groups = _annotated(spark, sf_dir, ("e0", "e1", "e2"), edges={**EDGES, 2: [5.0]})
+    """The flagship with fixed edges and all samples, where no regions merge. Of the third variable all samples are in
+    one bin: its other bin has no region, and with the only one left it goes."""
+    space, groups = _annotated(spark, sf_dir, ("e0", "e1", "e2"), edges={**EDGES, 2: [5.0]}, sample_size=None)
     return _listed(spark, space, list(groups.values()))
 
 

@@ -38,7 +38,7 @@ def test_query_gives_rows(spark, name):
     assert core.queries()[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["contrastive_fixed"])
+@pytest.mark.parametrize("name", ["contrastive_fixed", "region_annotations_fixed"])
 def test_fixed_plans_take_all_samples(spark, tmp_path, name):
     """More samples than the plans draw unless they are told to take all."""
     duckdb.execute(f"""COPY (SELECT t.k * 500 + vec_id AS vec_id, list_transform(embedding, lambda v: (v + t.k * 0.0011 * (1 + vec_id % 7))::FLOAT) AS embedding, label
